@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandwise.llm import best_mappings, file_pieces, size_percentiles, token_sizes
+from strandwise.llm import best_mappings, file_pieces, size_percentiles, token_sizes, wrong_decoding
 
-MODULES = (size_percentiles, file_pieces, best_mappings, token_sizes)
+MODULES = (size_percentiles, file_pieces, best_mappings, token_sizes, wrong_decoding)
 
 
 def queries() -> dict:
