@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandwise.plans import annotation_periods, heavy_contigs
+from strandwise.plans import annotation_periods, discordance, heavy_contigs, interval_queries
 
-MODULES = (annotation_periods, heavy_contigs)
+MODULES = (annotation_periods, heavy_contigs, discordance, interval_queries)
 
 
 def queries() -> dict:
