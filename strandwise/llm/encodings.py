@@ -161,8 +161,9 @@ def forms(word: str, wide_only: bool) -> dict[str, tuple[str, str]]:
         pieces = WORD_BREAK.split(form)
         if SOFT_SPACE.search(form):
             pieces += [p for p in SOFT_SPACE.split(form) if len(p) > 1]
+        pieces = [p for p in pieces if p not in word]  # what stands beside the space may be clean
         for piece in pieces:
-            if piece and piece != word and (not piece.isascii() or (chain[-1] == "?" and QUESTION.search(piece))) and (piece not in out or rank[kind] < rank[out[piece][1]]):
+            if piece and (not piece.isascii() or (chain[-1] == "?" and QUESTION.search(piece))) and (piece not in out or rank[kind] < rank[out[piece][1]]):
                 out[piece] = chain, kind
     return out
 

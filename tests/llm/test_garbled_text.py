@@ -100,6 +100,8 @@ def test_forms():
     assert forms("café", False)["cafÃ©"] == ("utf-8>cp1252", "wide")
     assert forms("café", False)["caf�"][1] == "lossy" and forms("café", False)["cafй"][1] == "same"
     assert "dÃ©jÃ" in forms("déjà", False)
+    # beside a soft space that a form has may stand a clean rest of the word
+    assert "coöperation" not in forms("x愠coöperation", False) and "öl" not in forms("àöl", False)
     assert normal("RG053é12") == "RG0é0" and with_digits("RG0e0", "RG053é12") == "RG053e12" and with_digits("RG0", "RG5é1") is None
     assert utf16_text("abcd".encode().decode("utf-16-le")) == "abcd" and utf16_text("日本") is None
     assert unicodedata.normalize("NFC", "é") in forms("é", True) or forms("é", True)
