@@ -38,6 +38,7 @@ CLEAN_RATIO = 4
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 200_000
 LEAST_LIKE_WORDS = 0.5
+FORM_TASKS = 64
 
 
 def words_of(text: str) -> list[str]:
@@ -137,7 +138,8 @@ def garbled_words(docs: DataFrame) -> DataFrame:
 
     runs = odd.select("word", "docs", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit("([^\\x00-\\x7f]+)"), F.lit(1)))).alias("run"))
     units = odd.select("word", "docs", F.lit(False).alias("is_run")).unionByName(runs.groupBy("run").agg(F.sum("docs").alias("docs")).select(F.col("run").alias("word"), "docs", F.lit(True).alias("is_run")))
-    units = checkpointed(units.repartition("word"))
+    # Making forms is the longest step; a fixed number keeps the few words from being put into one task.
+    units = checkpointed(units.repartition(FORM_TASKS, "word"))
     made = units.mapInPandas(_forms, "form string, source string, source_docs long, form_is_run boolean, chain string, kind string")
     hits = made.join(units, (F.col("form") == F.col("word")) & (F.col("form_is_run") == F.col("is_run"))).select("word", "docs", "is_run", "source", "source_docs", "chain", "kind")
     hits = checkpointed(hits.where(f"kind <> 'same' or source_docs >= {CLEAN_RATIO} * docs"))
