@@ -28,6 +28,8 @@ RUN = re.compile("[^\x00-\x7f]+")
 DIGITS = re.compile("[0-9]+")
 #: Characters of East Asian scripts.
 EAST = re.compile("[\u2e80-\ud7ff\uf900-\ufaff\uff00-\uffef]")
+#: Characters that a chance reading of two bytes as UTF-8 gives more often than a text has them.
+UNUSUAL = re.compile("[^\x00-\x7f\u00a0-\u024f\u0370-\u045f\u1e00-\u1eff\u2010-\u22ff\u2500-\u25ff\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uffef]")
 #: A question mark inside a word, as a writer leaves it for a character that the encoding lacks.
 QUESTION = re.compile(r"[^\W\d_]\?[^\W\d_]")
 WORD_BREAK = re.compile(f"[{SPACE}]+")
@@ -139,23 +141,24 @@ def one_character(word: str) -> Iterator[tuple[str, str, str]]:
 
 
 def looks_garbled(word: str) -> bool:
-    """Whether the word itself reads as UTF-8 bytes in one of the usual targets."""
+    """Whether the word itself reads as UTF-8 bytes of usual characters in one of the usual targets, or as ASCII in UTF-16."""
     for target in TWICE:
         data = _write(word, target)
         if data is not None:
             try:
-                if data.decode("utf-8") != word:
-                    return True
+                clean = data.decode("utf-8")
             except UnicodeDecodeError:
-                pass
-    return False
+                continue
+            if clean != word and not UNUSUAL.search(clean):
+                return True
+    return any(utf16_text(run) is not None for run in ASCII_PAIR.findall(word))
 
 
 def forms(word: str, wide_only: bool) -> dict[str, tuple[str, str]]:
     """form -> (chain, kind), the surest kind first; also the parts of a form that a soft space divides, if they have characters beyond ASCII."""
     out: dict[str, tuple[str, str]] = {}
     rank = {"wide": 0, "lossy": 1, "same": 2}
-    for form, chain, kind in (*once(word), *(() if looks_garbled(word) else (*twice(word), *(() if wide_only else one_character(word))))):
+    for form, chain, kind in (*once(word), *(() if looks_garbled(word) else twice(word)), *(() if wide_only else one_character(word))):
         if wide_only and kind == "same":
             continue
         pieces = WORD_BREAK.split(form)
@@ -182,22 +185,26 @@ def with_digits(word: str, token: str) -> str | None:
     return DIGITS.sub(lambda _: next(found), word)
 
 
+KANA = re.compile("[\u3040-\u30ff]")
+TEXT_CHAR = re.compile(r"[\w\s.,:;=()\[\]/+-]", re.ASCII)
+SMALL = re.compile("[a-z ]")
 #: Characters of two printable ASCII bytes each, four or more in a row.
 ASCII_PAIR = re.compile("[\u2020-\u7e7e]{4,}")
 
 
 def utf16_text(run: str) -> str | None:
-    """The ASCII text whose bytes read as UTF-16 (either byte order) give the run, if every character does."""
+    """The ASCII text whose bytes read as UTF-16 (either byte order) give the run, if it is a text.
+
+    Chance pairs of printable characters, as East Asian text may give, have few
+    spaces and small letters; in kana every second one is a 0.
+    """
+    if 2 * len(KANA.findall(run)) > len(run):
+        return None
     for order in ("utf-16-le", "utf-16-be"):
         try:
             text = run.encode(order).decode("ascii")
         except (UnicodeEncodeError, UnicodeDecodeError):
             continue
-        if all(" " <= c <= "~" or c in "\t\n\r" for c in text):
+        if len(TEXT_CHAR.findall(text)) >= 0.9 * len(text) and (len(run) >= 8 or 2 * len(SMALL.findall(text)) >= len(text)):
             return text
     return None
-
-
-def word_like(text: str) -> float:
-    """The share of lower-case letters and spaces."""
-    return sum(c.islower() or c == " " for c in text) / len(text)

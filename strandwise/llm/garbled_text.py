@@ -30,14 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.encodings import ASCII_PAIR, QUESTION, REPLACED, RUN, SPACE, WORD_BREAK, forms, normal, utf16_text, with_digits, word_like
+from strandwise.llm.encodings import ASCII_PAIR, QUESTION, REPLACED, RUN, SPACE, WORD_BREAK, forms, normal, utf16_text, with_digits
 from strandwise.runtime import checkpointed, small_side
 
 #: How many times as many documents the clean one of two interchangeable words must have.
 CLEAN_RATIO = 4
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 200_000
-LEAST_LIKE_WORDS = 0.5
 FORM_TASKS = 64
 
 
@@ -104,7 +103,7 @@ def _turned_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         for word in batch["word"]:
-            spans = {r: t for r in ASCII_PAIR.findall(word) if (t := utf16_text(r)) is not None and word_like(t) >= LEAST_LIKE_WORDS}
+            spans = {r: t for r in ASCII_PAIR.findall(word) if (t := utf16_text(r)) is not None}
             if not spans:
                 continue
             repaired = ASCII_PAIR.sub(lambda m, spans=spans: spans.get(m.group(), m.group()), word)

@@ -102,6 +102,8 @@ def test_forms():
     assert "dÃ©jÃ" in forms("déjà", False)
     # beside a soft space that a form has may stand a clean rest of the word
     assert "coöperation" not in forms("x愠coöperation", False) and "öl" not in forms("àöl", False)
+    assert "L’Ã©quipe" in forms("L’équipe", False) and "LÃ¢â‚¬â„¢ÃƒÂ©quipe" in forms("L’équipe", False)
+    assert utf16_text("[07:39] INFO block 22".encode().decode("utf-16-le", "ignore")) and utf16_text("ここにはとく") is None
     assert normal("RG053é12") == "RG0é0" and with_digits("RG0e0", "RG053é12") == "RG053e12" and with_digits("RG0", "RG5é1") is None
-    assert utf16_text("abcd".encode().decode("utf-16-le")) == "abcd" and utf16_text("日本") is None
+    assert utf16_text("ab cd ef".encode().decode("utf-16-le")) == "ab cd ef" and utf16_text("日本") is None
     assert unicodedata.normalize("NFC", "é") in forms("é", True) or forms("é", True)
