@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandwise.plans import annotation_periods, discordance, heavy_contigs, interval_queries
+from strandwise.plans import annotation_periods, discordance, heavy_contigs, insertions, interval_queries
 
-MODULES = (annotation_periods, heavy_contigs, discordance, interval_queries)
+MODULES = (annotation_periods, heavy_contigs, discordance, interval_queries, insertions)
 
 
 def queries() -> dict:
