@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,73 +13,75 @@ from pyspark.sql import types as T
 from strandwise.operators.gap_clusters import gap_clusters
 
 
-def assign(rows: list[tuple], reach: float) -> list[int]:
-    """Cluster of each row (name, start, mate chromosome, strand, mate start, mate strand, size, upper, median, sd, k), in order of start; -1 for an exact repetition.
+class Assigner:
+    """The open clusters of one chromosome, fed in order of start."""
 
-    Clusters are asked from the newest to the oldest, their members in order of
-    arrival. A member settles it: an exact repetition drops the row; equal mate
-    chromosome and strands, both starts within the larger upper bound of the
-    two, and (equal strands, or sizes that differ from the difference of the
-    medians by at most k joint deviations) puts the row into the cluster; a
-    member further away than `reach` ends the search.
-    """
-    clusters: deque[tuple[int, list[tuple]]] = deque()
-    out, made = [], 0
-    for row in rows:
-        name, start, mchrom, strand, mstart, mstrand, size, upper, median, sd, k = row
-        target, dropped = None, False
-        for no, own in reversed(clusters):
+    def __init__(self, k: float, reach: float) -> None:
+        self.k, self.reach = k, reach
+        self.clusters: deque[tuple[int, list[tuple]]] = deque()
+        self.made = 0
+
+    def add(self, row: tuple) -> int:
+        """Cluster of a row (name, start, mate chromosome, strand, mate start, mate strand, size, upper, median, sd); -1 for an exact repetition.
+
+        Clusters are asked from the newest to the oldest, their members in order
+        of arrival. A member settles it: an exact repetition drops the row; equal
+        mate chromosome and strands, both starts within the larger upper bound of
+        the two, and (equal strands, or sizes that differ from the difference of
+        the medians by at most k joint deviations) puts the row into the cluster;
+        a member further away than `reach` ends the search.
+        """
+        name, start, mchrom, strand, mstart, mstrand, size, upper, median, sd = row
+        reach = self.reach
+        target = None
+        for own in reversed(self.clusters):
             stop = False
-            for o in own:
-                if o[0] == name and o[2] == mchrom and o[1] == start and o[4] == mstart and o[3] == strand and o[5] == mstrand:
-                    dropped = stop = True
-                    break
+            for o in own[1]:
                 if o[2] == mchrom and o[3] == strand and o[5] == mstrand:
+                    if o[0] == name and o[1] == start and o[4] == mstart:
+                        return -1
                     far = max(o[7], upper)
-                    if abs(start - o[1]) <= far and abs(mstart - o[4]) <= far:
-                        if strand == mstrand:
-                            target, stop = no, True
-                            break
-                        spread = k * (sd**2 + o[9] ** 2) ** 0.5
-                        if abs((size - o[6]) - (median - o[8])) <= spread:
-                            target, stop = no, True
-                            break
+                    if abs(start - o[1]) <= far and abs(mstart - o[4]) <= far and (strand == mstrand or abs((size - o[6]) - (median - o[8])) <= self.k * (sd**2 + o[9] ** 2) ** 0.5):
+                        target, stop = own, True
+                        break
                 if abs(start - o[1]) > reach:
                     stop = True
                     break
             if stop:
                 break
-        if dropped:
-            out.append(-1)
-            continue
         if target is None:
-            target = made
-            made += 1
-            clusters.append((target, []))
-        next(own for no, own in reversed(clusters) if no == target).append(row)
-        out.append(target)
-        while clusters and all(abs(start - o[1]) > reach for o in clusters[0][1]):
-            clusters.popleft()  # nothing that comes later can reach it
-    return out
+            target = (self.made, [])
+            self.made += 1
+            self.clusters.append(target)
+        target[1].append(row)
+        while all(abs(start - o[1]) > reach for o in self.clusters[0][1]):
+            self.clusters.popleft()  # nothing that comes later can reach it
+        return target[0]
 
 
-def assign_clusters(df: DataFrame, stats: DataFrame, k: float, reach: float, gap: int) -> DataFrame:
-    """Clusters of pairs: chrom, `run`, cluster, id; -1 are exact repetitions.
+def assign_clusters(df: DataFrame, stats: DataFrame, k: float, reach: float) -> DataFrame:
+    """Clusters of pairs: chrom, `run`, cluster (from 0 in a run), id; -1 are exact repetitions.
 
     `df` has id, name, chrom, pos, strand, mate_chrom, mate_pos, mate_strand,
     isize, rg; `stats` has rg, median, sd, upper. The search never goes further
-    than `reach`, so a chromosome is cut where `gap` (at least `reach`)
-    positions have no row; the pieces are independent and of bounded reach.
+    than `reach`, so a chromosome is cut where `reach` positions have no row,
+    and only the open clusters of a run are held. Rows without a position or
+    statistics take no part; equal positions come in the order of the id.
     """
     rows = df.where("chrom is not null and pos is not null and mate_chrom is not null and mate_pos is not null").join(stats, "rg")
-    rows = gap_clusters(rows, ["chrom"], "pos", max(gap, int(reach)))
+    rows = gap_clusters(rows, ["chrom"], "pos", int(reach))
     schema = T.StructType([T.StructField("chrom", T.StringType()), T.StructField("run", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("id", T.LongType())])
+    names = ["name", "pos", "mate_chrom", "strand", "mate_pos", "mate_strand", "isize", "upper", "median", "sd"]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["pos", "id"])
-        cols = [group[c].tolist() for c in ("name", "pos", "mate_chrom", "strand", "mate_pos", "mate_strand", "isize", "upper", "median", "sd")]
-        got = assign([(*x, k) for x in zip(*cols, strict=True)], reach)
-        return pd.DataFrame({"chrom": group["chrom"].iloc[0], "run": group["cluster_start"].iloc[0], "cluster": got, "id": group["id"]})
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, open_ = None, None
+        for batch in batches:
+            got = []
+            for key, row in zip(zip(batch["chrom"], batch["cluster_start"], strict=True), zip(*[batch[c].tolist() for c in names], strict=True), strict=True):
+                if key != at:
+                    at, open_ = key, Assigner(k, reach)
+                got.append(open_.add(row))
+            yield pd.DataFrame({"chrom": batch["chrom"], "run": batch["cluster_start"], "cluster": got, "id": batch["id"]})
 
     wanted = rows.select("chrom", "cluster_start", "id", "name", "pos", "strand", "mate_chrom", "mate_pos", "mate_strand", F.coalesce("isize", F.lit(0)).alias("isize"), "upper", "median", F.coalesce("sd", F.lit(0.0)).alias("sd"))
-    return wanted.groupBy("chrom", "cluster_start").applyInPandas(run, schema)
+    return wanted.repartition("chrom", "cluster_start").sortWithinPartitions("chrom", "cluster_start", "pos", "id").mapInPandas(scan, schema)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,35 +31,31 @@ def wildcard_clusters(df: DataFrame, keys: Sequence[str], family: str, at: str,
 
     A wildcard row within `gap` of the last member of a family's open cluster
     becomes its next member; it clusters by itself too. Whether it joins depends
-    on what joined before, so a key is scanned in order; keys should be of
-    bounded size, such as a cell of a contig. Ties in position are in the order
+    on what joined before, so a key is scanned in order, holding one position a
+    family; a key should be of bounded length, such as a cell of a contig. Ties in position are in the order
     of `id`. Out: `keys`, `family` (of the cluster), `cluster_no` (from 0), `id`, `at`.
     """
     named = df.where(F.col(at).isNotNull()).select(*keys, F.col(family).alias("__family"), F.col(at).cast("long").alias("__at"), F.col(id).alias("__id"))
     schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(family, T.StringType()), T.StructField("cluster_no", T.LongType()), T.StructField(id, df.schema[id].dataType), T.StructField(at, T.LongType())])
 
-    def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["__at", "__id"])
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here: tuple | None = None
         last: dict[str, int] = {}
         number: dict[str, int] = {}
-        rows = []
-
-        def add(name: str, position: int, row: object) -> None:
-            if name not in last:
-                number[name] = 0
-            elif position - last[name] > gap:
-                number[name] += 1
-            last[name] = position
-            rows.append((name, number[name], row, position))
-
-        for name, position, row in zip(group["__family"], group["__at"], group["__id"], strict=True):
-            if name == wildcard:
-                for other in [f for f, p in last.items() if f != wildcard and position - p <= gap]:
-                    add(other, position, row)
-            add(name, position, row)
-        out = pd.DataFrame(rows, columns=[family, "cluster_no", id, at])
-        for i, k in enumerate(keys):
-            out.insert(i, k, [group[k].iloc[0]] * len(out))
-        return out
-
-    return named.groupBy(*keys).applyInPandas(scan, schema)
+        for batch in batches:
+            rows = []
+            columns = [batch[k].astype(object).where(batch[k].notna(), None).tolist() for k in keys]
+            for key, name, position, row in zip(zip(*columns, strict=True), batch["__family"], batch["__at"], batch["__id"], strict=True):
+                if key != here:
+                    here, last, number = key, {}, {}
+                joined = [f for f, p in last.items() if f != wildcard and position - p <= gap] if name == wildcard else []
+                for family_ in (*joined, name):
+                    if family_ not in last:
+                        number[family_] = 0
+                    elif position - last[family_] > gap:
+                        number[family_] += 1
+                    last[family_] = position
+                    rows.append((*key, family_, number[family_], row, position))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return named.repartition(*keys).sortWithinPartitions(*keys, "__at", "__id").mapInPandas(scan, schema)

@@ -2,7 +2,7 @@
 
 Every join has an equi key. Inside a key an interval goes to the one or two
 bins of its level, where a level's bins are at least as long as the interval;
-pairs meet at the coarser level of the two. So no interval is copied into many
+pairs meet at the level of the longer one. So no interval is copied into many
 bins, a hot key is spread over its bins, and no pair is compared outside a bin.
 A pair is kept in the bin of the later of the two starts only, so it comes once.
 """
@@ -18,18 +18,17 @@ from pyspark.sql import functions as F
 LEVELS = (10, 14, 18, 22, 26, 30, 40, 62)
 
 
-def _placed(df: DataFrame, start: Column, end: Column, side: str) -> DataFrame:
-    """`df` with the bins of each level from its own up."""
-    length = end - start
+def _placed(df: DataFrame, side: str, up: bool) -> DataFrame:
+    """`df`, which has its bounds as __<side>s and __<side>e, with the bins of its own level or, with `up`, of all levels from there on."""
     own = F.lit(len(LEVELS) - 1)
     for i in reversed(range(len(LEVELS) - 1)):
-        own = F.when(length < (1 << LEVELS[i]), i).otherwise(own)
-    df = df.withColumns({f"__{side}s": start, f"__{side}e": end}).where(F.col(f"__{side}s") <= F.col(f"__{side}e")).withColumn(f"__{side}l", own)
-    level = F.explode(F.expr(f"filter(sequence(0, {len(LEVELS) - 1}), l -> l >= __{side}l)")).alias(f"__{side}t")
-    df = df.select("*", level)
-    bits = F.element_at(F.array(*[F.lit(b) for b in LEVELS]), F.col(f"__{side}t") + 1)
-    df = df.withColumn("__bits", bits).withColumns({"__a": F.expr(f"shiftright(__{side}s, __bits)"), "__b": F.expr(f"shiftright(__{side}e, __bits)")})
-    return df.withColumn(f"__{side}b", F.explode(F.expr("if(__a = __b, array(__a), array(__a, __b))"))).drop("__a", "__b")
+        own = F.when(F.col(f"__{side}e") - F.col(f"__{side}s") < (1 << LEVELS[i]), i).otherwise(own)
+    df = df.withColumn(f"__{side}l", own)
+    levels = F.expr(f"sequence(__{side}l, {len(LEVELS) - 1})") if up else F.array(f"__{side}l")
+    df = df.select("*", F.explode(levels).alias(f"__{side}t"))
+    df = df.withColumn("__bits", F.element_at(F.array(*[F.lit(b) for b in LEVELS]), F.col(f"__{side}t") + 1))
+    df = df.withColumns({"__a": F.expr(f"shiftright(__{side}s, __bits)"), "__b": F.expr(f"shiftright(__{side}e, __bits)")})
+    return df.withColumn(f"__{side}b", F.explode(F.expr("if(__a = __b, array(__a), array(__a, __b))"))).withColumnRenamed("__bits", f"__{side}bits").drop("__a", "__b")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], left_span: tuple[str, str], right_span: tuple[str, str], closed: bool = True) -> DataFrame:
@@ -38,17 +37,18 @@ def overlap_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]
     With `closed=False` the right interval is open at its end. Null bounds,
     inverted intervals and null keys match nothing. Bounds are longs.
     """
-    ls, le = F.col(left_span[0]).cast("long"), F.col(left_span[1]).cast("long")
-    rs, re = F.col(right_span[0]).cast("long"), F.col(right_span[1]).cast("long") - (0 if closed else 1)
-    a, b = _placed(left, ls, le, "l").withColumnRenamed("__bits", "__lbits"), _placed(right, rs, re, "r").drop("__bits")
+    a = left.withColumns({"__ls": F.col(left_span[0]).cast("long"), "__le": F.col(left_span[1]).cast("long")}).where("__ls <= __le")
+    b = right.withColumns({"__rs": F.col(right_span[0]).cast("long"), "__re": F.col(right_span[1]).cast("long") - (0 if closed else 1)}).where("__rs <= __re")
     same = (F.col("__lt") == F.col("__rt")) & (F.col("__lb") == F.col("__rb"))
     for x, y in on:
         same &= F.col(x) == F.col(y)
-    coarser = F.col("__lt") == F.greatest("__ll", "__rl")
     once = F.expr("shiftright(greatest(__ls, __rs), __lbits)") == F.col("__lb")
-    meet = (F.col("__ls") <= F.col("__re")) & (F.col("__rs") <= F.col("__le"))
-    joined = a.join(b, same & coarser & meet & once)
-    return joined.select(*[F.col(f"`{c}`") for c in (*left.columns, *right.columns)])
+    meet = (F.col("__ls") <= F.col("__re")) & (F.col("__rs") <= F.col("__le")) & once
+    keep = [F.col(f"`{c}`") for c in (*left.columns, *right.columns)]
+    # The longer one of a pair stands at its own level, so only intervals that are about as long as a bin make it full.
+    longer_left = _placed(a, "l", False).join(_placed(b, "r", True), same & meet).select(*keep)
+    longer_right = _placed(a, "l", True).where("__ll < __lt").join(_placed(b, "r", False), same & meet).select(*keep)
+    return longer_left.unionByName(longer_right)
 
 
 def point_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], point: str, right_span: tuple[str, str]) -> DataFrame:

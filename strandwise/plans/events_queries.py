@@ -130,7 +130,7 @@ def w2_assigned(spark: SparkSession, folder: str) -> DataFrame:
     """Newest open cluster that fits, for records of the plus strand."""
     rows = pairs(spark, folder).where("name is not null and len > 0")
     stats = group_stats(pairs(spark, folder)).withColumn("upper", F.col("median") + 3 * F.coalesce("sd", F.lit(0.0))).select("rg", "median", "sd", "upper")
-    return assign_clusters(rows, stats, 3.0, 1_000, 2_000)
+    return assign_clusters(rows, stats, 3.0, 1_000)
 
 
 

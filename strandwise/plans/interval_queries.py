@@ -12,6 +12,7 @@ from strandwise.plans.records import GENES_SQL, MEMBERS_SQL, PAIRS_SQL, REPEATS_
 MARGIN = 500
 JITTER = 2
 NEAR = 100
+WIDE = 100_000
 RATIO = 0.8
 LARGEST_ELEMENT = 100_000
 
@@ -21,12 +22,20 @@ def _genes(spark: SparkSession, folder: str) -> DataFrame:
     return gene_spans(spark, folder).where("gchrom is not null and gname is not null").distinct()
 
 
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Annotated repeats as segments, each distinct one once."""
+    return repeats(spark, folder).where("chrom is not null and rname is not null").select(F.col("chrom").alias("gchrom"), F.col("s").alias("gs"), F.col("e").alias("ge"), F.col("rname").alias("gname"), F.coalesce("rclass", F.lit("NA")).alias("gtype")).distinct()
+
+
+#: A segment meets the other segments, not its like.
+OTHER = "not (gs = s and ge = e)"
+_G2 = "g as (select distinct chrom as gchrom, s as gs, e as ge, rname as gname, coalesce(rclass, 'NA') as gtype from reps where chrom is not null and rname is not null)"
 _G = "g as (select distinct * from gene_spans where gchrom is not null and gname is not null)"
 
 
 def j5_overlap(spark: SparkSession, folder: str) -> DataFrame:
     """Closed overlap; for each segment how many repeats it meets and over how many positions."""
-    pairs_ = overlap_join(_genes(spark, folder), repeats(spark, folder), [("gchrom", "chrom")], ("gs", "ge"), ("s", "e"))
+    pairs_ = overlap_join(_segments(spark, folder), repeats(spark, folder), [("gchrom", "chrom")], ("gs", "ge"), ("s", "e")).where(OTHER)
     shared = F.least("ge", "e") - F.greatest("gs", "s") + 1
     return pairs_.groupBy("gchrom", "gs", "ge", "gname", "gtype").agg(F.count(F.lit(1)).alias("n"), F.sum(shared).alias("shared"))
 
@@ -65,9 +74,9 @@ def j11_first_gene(spark: SparkSession, folder: str) -> DataFrame:
 
 def j12_copy_number(spark: SparkSession, folder: str) -> DataFrame:
     """Segments by the repeats that hold one of their ends; those with more than 3 go."""
-    g = _genes(spark, folder)
+    g = _segments(spark, folder)
     ends = g.select(F.struct("gchrom", "gs", "ge", "gname", "gtype").alias("sv"), F.explode(F.array("gs", "ge")).alias("p"), "gchrom")
-    hits = overlap_join(ends, repeats(spark, folder).where("rname is not null"), [("gchrom", "chrom")], ("p", "p"), ("s", "e")).select("sv", "rname", "s", "e").distinct()
+    hits = overlap_join(ends, repeats(spark, folder).where("rname is not null"), [("gchrom", "chrom")], ("p", "p"), ("s", "e")).where("not (sv.gs = s and sv.ge = e)").select("sv", "rname", "s", "e").distinct()
     few = hits.groupBy("sv").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("rname")), "/").alias("names")).where("n <= 3")
     return few.select("sv.gname", "sv.gchrom", "sv.gs", "sv.ge", "sv.gtype", "n", F.concat_ws("<=>", "names", "sv.gname").alias("pair"))
 
@@ -109,20 +118,20 @@ _SUMMARIES = "sums as (select cluster_id, chrom, mate_chrom, min(pos) as s1, max
 
 
 def j16_both_ends(spark: SparkSession, folder: str) -> DataFrame:
-    """Other clusters that each cluster overlaps at both ends."""
-    a = _summaries(spark, folder)
+    """Other clusters that each cluster, widened, overlaps at both ends."""
+    a = _summaries(spark, folder).withColumns({"lo": F.col("s1") - WIDE, "hi": F.col("s2") + WIDE})
     b = a.select(F.col("cluster_id").alias("other"), F.col("chrom").alias("oc"), F.col("mate_chrom").alias("omc"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("m1").alias("om1"), F.col("m2").alias("om2"))
-    hits = overlap_join(a, b, [("chrom", "oc"), ("mate_chrom", "omc")], ("s1", "s2"), ("o1", "o2")).where("cluster_id <> other and m1 <= om2 and om1 <= m2")
+    hits = overlap_join(a, b, [("chrom", "oc"), ("mate_chrom", "omc")], ("lo", "hi"), ("o1", "o2")).where(f"cluster_id <> other and m1 - {WIDE} <= om2 and om1 <= m2 + {WIDE}")
     return hits.groupBy("cluster_id").agg(F.count_distinct("other").alias("n"), F.min("other").alias("first"))
 
 
 def j17_element(spark: SparkSession, folder: str) -> DataFrame:
     """The first repeat that a segment and it cover each other of by 0.8; else `complex` if all its parts of repeats add up to that."""
-    g = _genes(spark, folder).where(F.col("ge") - F.col("gs") <= LARGEST_ELEMENT)
+    g = _segments(spark, folder).where(F.col("ge") - F.col("gs") <= LARGEST_ELEMENT)
     r = repeats(spark, folder).where("rname is not null and rclass in ('LINE', 'SINE', 'LTR', 'DNA')")
     shared = F.least("ge", "e") - F.greatest("gs", "s") + 1
     own, other = F.col("ge") - F.col("gs") + 1, F.col("e") - F.col("s") + 1
-    hits = overlap_join(g, r, [("gchrom", "chrom")], ("gs", "ge"), ("s", "e")).withColumns({"shared": shared, "both": (shared >= RATIO * own) & (shared >= RATIO * other)})
+    hits = overlap_join(g, r, [("gchrom", "chrom")], ("gs", "ge"), ("s", "e")).where(OTHER).withColumns({"shared": shared, "both": (shared >= RATIO * own) & (shared >= RATIO * other)})
     per = hits.groupBy("gchrom", "gs", "ge", "gname", "gtype").agg(F.min(F.when(F.col("both"), F.struct("s", "e", "rname"))).alias("first"), F.sum("shared").alias("total"))
     found = F.when(F.col("first").isNotNull(), F.col("first.rname")).when(F.col("total") >= RATIO * own, "complex")
     return per.withColumn("element", found).where("element is not null").select("gchrom", "gs", "ge", "gname", "gtype", "element")
@@ -130,10 +139,10 @@ def j17_element(spark: SparkSession, folder: str) -> DataFrame:
 
 def j18_simple_repeat(spark: SparkSession, folder: str) -> DataFrame:
     """Segments of which a simple repeat covers 0.8."""
-    g = _genes(spark, folder)
+    g = _segments(spark, folder)
     r = repeats(spark, folder).where("rclass in ('SIMPLE_REPEAT', 'SATELLITE', 'LOW_COMPLEXITY')")
     shared = F.least("ge", "e") - F.greatest("gs", "s") + 1
-    hits = overlap_join(g, r, [("gchrom", "chrom")], ("gs", "ge"), ("s", "e")).where(shared >= RATIO * (F.col("ge") - F.col("gs") + 1))
+    hits = overlap_join(g, r, [("gchrom", "chrom")], ("gs", "ge"), ("s", "e")).where(OTHER).where(shared >= RATIO * (F.col("ge") - F.col("gs") + 1))
     return hits.select("gchrom", "gs", "ge", "gname", "gtype").distinct()
 
 
@@ -161,9 +170,9 @@ def j9_two_rankings(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("cluster_id", "chrom", "mate_chrom", F.col("b.other").alias("partner"), F.col("b.r1").alias("r1"), F.col("b.r2").alias("r2"))
 
 
-_GR = f"with {GENES_SQL}, {_G}, {REPEATS_SQL}"
+_GR = f"with {REPEATS_SQL}, {_G2}"
 _KEY = "gchrom, gs, ge, gname, gtype"
-_ON = "g.gchrom = r.chrom and r.s <= g.ge and g.gs <= r.e"
+_ON = "g.gchrom = r.chrom and r.s <= g.ge and g.gs <= r.e and not (g.gs = r.s and g.ge = r.e)"
 
 SQL = {
     "j5_overlap": f"{_GR} select {_KEY}, count(*) as n, cast(sum(least(ge, e) - greatest(gs, s) + 1) as bigint) as shared from g join reps r on {_ON} group by {_KEY}",
@@ -174,7 +183,7 @@ select cluster_id, chrom, a, b, case when exists (select 1 from reps r where r.r
     "j11_first_gene": f"""with {MEMBERS_SQL}, {GENES_SQL}, {_G}, m as (select distinct chrom, pos from members where chrom is not null and pos is not null)
 , x as (select m.chrom, m.pos, gname || '_' || gtype as gene, row_number() over (partition by m.chrom, m.pos order by gs, ge, gname, gtype) as r from m left join g on g.gchrom = m.chrom and g.gs <= m.pos + 2 and g.ge >= m.pos - 2)
 select chrom, pos, coalesce(gene, '-') as gene from x where r = 1""",
-    "j12_copy_number": f"""{_GR}, h as (select distinct {_KEY}, rname, s, e from g join reps r on r.rname is not null and g.gchrom = r.chrom and ((r.s <= g.gs and g.gs <= r.e) or (r.s <= g.ge and g.ge <= r.e)))
+    "j12_copy_number": f"""{_GR}, h as (select distinct {_KEY}, rname, s, e from g join reps r on r.rname is not null and not (g.gs = r.s and g.ge = r.e) and g.gchrom = r.chrom and ((r.s <= g.gs and g.gs <= r.e) or (r.s <= g.ge and g.ge <= r.e)))
 , n as (select {_KEY}, count(*) as n, array_to_string(list_sort(list(distinct rname)), '/') as names from h group by {_KEY})
 select {_KEY}, n, names || '<=>' || gname as pair from n where n <= 3""",
     "j13_cohort": """with x as (select strand, regexp_replace(trim(chrom), '^[cC][hH][rR]', '') as c, least(s, e) as s, greatest(s, e) as e, upper(trim(gene_name)) as n, coalesce(gene_type, 'NA') as t from genes where s >= 1 and e >= 1)
@@ -187,7 +196,7 @@ select c, st, p, mp, id, distance from y where r = 1""",
     "j15_one_end": f"""with {PAIRS_SQL}, {GENES_SQL}, {_G}, a as (select distinct p.id from pairs p join g on p.chrom = g.gchrom and p.pos between g.gs and g.ge), b as (select distinct p.id from pairs p join g on p.mate_chrom = g.gchrom and p.mate_pos between g.gs and g.ge)
 select p.id, a.id is not null as at_start from pairs p left join a on a.id = p.id left join b on b.id = p.id where p.pos is not null and p.mate_pos is not null and (a.id is not null) <> (b.id is not null)""",
     "j16_both_ends": f"""with {MEMBERS_SQL}, {_SUMMARIES}
-select a.cluster_id, count(distinct b.cluster_id) as n, min(b.cluster_id) as first from sums a join sums b on a.chrom = b.chrom and a.mate_chrom = b.mate_chrom and a.cluster_id <> b.cluster_id and a.s1 <= b.s2 and b.s1 <= a.s2 and a.m1 <= b.m2 and b.m1 <= a.m2 group by a.cluster_id""",
+select a.cluster_id, count(distinct b.cluster_id) as n, min(b.cluster_id) as first from sums a join sums b on a.chrom = b.chrom and a.mate_chrom = b.mate_chrom and a.cluster_id <> b.cluster_id and a.s1 - 100000 <= b.s2 and b.s1 <= a.s2 + 100000 and a.m1 - 100000 <= b.m2 and b.m1 <= a.m2 + 100000 group by a.cluster_id""",
     "j17_element": f"""{_GR}, h as (select {_KEY}, s, e, rname, least(ge, e) - greatest(gs, s) + 1 as shared, ge - gs + 1 as own, e - s + 1 as other from g join reps r on {_ON} and r.rname is not null and r.rclass in ('LINE', 'SINE', 'LTR', 'DNA') where ge - gs <= 100000)
 , f as (select {_KEY}, own, arg_min(rname, (s, e, rname)) filter (shared >= 0.8::double * own and shared >= 0.8::double * other) as first, sum(shared) as total from h group by {_KEY}, own)
 select {_KEY}, coalesce(first, 'complex') as element from f where first is not null or total >= 0.8::double * own""",
