@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandwise.arrowgroups import group_ids, run_starts
+from strandwise.operators.carry import CELL_BITS, null_safe_join
 
-CELL_BITS = 20
 #: Blocks a row, so that Arrow batches stay small.
 CHUNK = 1024
 SALTS = 16
@@ -228,15 +228,6 @@ def _back(df: DataFrame, name: str):
     return lambda c: c
 
 
-def _with(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Inner equi-join in which nulls equal each other; keeps the left names once."""
-    other = right.withColumnsRenamed({n: f"r_{n}" for n in names})
-    condition = F.lit(True)
-    for n in names:
-        condition &= F.col(n).eqNullSafe(F.col(f"r_{n}"))
-    return left.join(other, condition).drop(*[f"r_{n}" for n in names])
-
-
 def _openings(runs: DataFrame, k: list[str]) -> DataFrame:
     """The runs that open a period: k.., lo, and `before`, the end of the period before (null for the first)."""
     before = (Window.unboundedPreceding, -1)
@@ -245,10 +236,10 @@ def _openings(runs: DataFrame, k: list[str]) -> DataFrame:
     blocks = cells.groupBy(*k, "c1").agg(F.max("reach").alias("reach"))
     blocks = blocks.select(*k, "c1", F.max("reach").over(Window.partitionBy(*k).orderBy("c1").rowsBetween(*before)).alias("carry1"))
     cells = cells.withColumn("carry", F.max("reach").over(Window.partitionBy(*k, "c1").orderBy("c0").rowsBetween(*before)))
-    cells = _with(cells, blocks, [*k, "c1"]).select(*k, "c0", F.greatest("carry", "carry1").alias("carry"))
+    cells = null_safe_join(cells, blocks, [*k, "c1"]).select(*k, "c0", F.greatest("carry", "carry1").alias("carry"))
     local = F.max("hi").over(Window.partitionBy(*k, "c0").orderBy("lo", F.desc("hi")).rowsBetween(*before))
     runs = runs.withColumn("local", local)
-    joined = _with(runs, cells, [*k, "c0"]).select(*k, "c0", "c1", "lo", F.greatest("local", "carry").alias("before"))
+    joined = null_safe_join(runs, cells, [*k, "c0"]).select(*k, "c0", "c1", "lo", F.greatest("local", "carry").alias("before"))
     return joined.where("before is null or (lo > before and coalesce(try_subtract(lo, before) > 1, true))")
 
 
@@ -277,9 +268,9 @@ def continuous_periods(df: DataFrame, keys: Sequence[str], start: str, end: str)
     blocks = cells.groupBy(*k, "c1").agg(F.min_by("closes", "c0").alias("closes"))
     lasts = runs.groupBy(*k).agg(F.max("hi").alias("furthest"))
     blocks = blocks.withColumn("next1", F.first("closes", True).over(Window.partitionBy(*k).orderBy("c1").rowsBetween(*after)))
-    blocks = _with(blocks, lasts, k).select(*k, "c1", F.coalesce("next1", "furthest").alias("next1"))
+    blocks = null_safe_join(blocks, lasts, k).select(*k, "c1", F.coalesce("next1", "furthest").alias("next1"))
     cells = cells.withColumn("next0", F.first("closes", True).over(Window.partitionBy(*k, "c1").orderBy("c0").rowsBetween(*after)))
-    cells = _with(cells, blocks, [*k, "c1"]).select(*k, "c0", F.coalesce("next0", "next1").alias("next"))
+    cells = null_safe_join(cells, blocks, [*k, "c1"]).select(*k, "c0", F.coalesce("next0", "next1").alias("next"))
     opened = opened.withColumn("lead", F.lead("before").over(Window.partitionBy(*k, "c0").orderBy("lo")))
-    joined = _with(opened, cells, [*k, "c0"]).select(*k, "lo", F.coalesce("lead", "next").alias("hi"))
+    joined = null_safe_join(opened, cells, [*k, "c0"]).select(*k, "lo", F.coalesce("lead", "next").alias("hi"))
     return joined.select(*[F.col(x).alias(y) for x, y in zip(k, keys, strict=True)], back(F.col("lo")).alias("period_start"), back(F.col("hi")).alias("period_end"))

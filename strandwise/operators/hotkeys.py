@@ -21,19 +21,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandwise.operators.carry import null_safe_join
 from strandwise.runtime import checkpointed, small_side
 
 STEP_BITS = 12
 
 
-def _null_safe(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    other = right.withColumnsRenamed({n: f"r_{n}" for n in names})
-    condition = F.lit(True)
-    for n in names:
-        condition &= F.col(n).eqNullSafe(F.col(f"r_{n}"))
-    return left.join(other, condition).drop(*[f"r_{n}" for n in names])
-
-
 def _shifts(low: int | None, high: int | None, step: int) -> list[int]:
     """How many low bits each round leaves open, from the widest value."""
     bits = max(abs(low or 0), abs(high or 0)).bit_length() + 1
@@ -49,7 +42,7 @@ def _located(hist: DataFrame, wanted: DataFrame, k: list[str]) -> DataFrame:
     """k.., q, bucket and the rank inside the bucket, of each wanted rank (k.., q, rank)."""
     window = Window.partitionBy(*k).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     run = hist.withColumn("upto", F.sum("n").over(window))
-    return _null_safe(run, wanted, k).where("rank <= upto and rank > upto - n").select(*k, "q", "bucket", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
+    return null_safe_join(run, wanted, k).where("rank <= upto and rank > upto - n").select(*k, "q", "bucket", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
 
 
 def selected_quantiles(base: DataFrame, k: list[str], percents: Sequence[int], step_bits: int = STEP_BITS) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +59,7 @@ def selected_quantiles(base: DataFrame, k: list[str], percents: Sequence[int], s
     for before, bits in zip(shifts, shifts[1:], strict=False):
         cells = found.select(*k, F.col("bucket").alias("cell")).distinct()
         rows = base.where("value is not null").withColumn("cell", shifted(before))
-        fine = _null_safe(rows, small_side(cells), [*k, "cell"]).groupBy(*k, "cell", shifted(bits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+        fine = null_safe_join(rows, small_side(cells), [*k, "cell"]).groupBy(*k, "cell", shifted(bits).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
         found = checkpointed(_located(fine, found.withColumnRenamed("bucket", "cell"), [*k, "cell"]).drop("cell"))
     return first, found.select(*k, "q", F.col("bucket").alias("value"))
 
@@ -101,4 +94,4 @@ def heavy_keys(profile: DataFrame, group: Sequence[str], share: float) -> DataFr
     `share` is compared exactly, as a whole number of millionths.
     """
     totals = profile.groupBy(*group).agg(F.sum("n_rows").alias("all_rows"))
-    return _null_safe(profile, totals, list(group)).where((F.col("n_rows") * 1_000_000) > F.col("all_rows") * round(share * 1_000_000)).drop("all_rows")
+    return null_safe_join(profile, totals, list(group)).where(F.col("n_rows").cast("decimal(19,0)") * 1_000_000 > F.col("all_rows").cast("decimal(19,0)") * round(share * 1_000_000)).drop("all_rows")
