@@ -69,6 +69,11 @@ def e1_intra(spark: SparkSession, folder: str) -> DataFrame:
     return _intra(spark, folder).drop("distance")
 
 
+def smallest_intra(spark: SparkSession, folder: str) -> DataFrame:
+    """The event of each anchor, with its bounds."""
+    return smallest(_intra(spark, folder))
+
+
 def o7_smallest(spark: SparkSession, folder: str) -> DataFrame:
     """The event of each anchor, out of its three smallest."""
     return smallest(_intra(spark, folder)).select("pid", "partner", "event", "deleted", "inserted")
