@@ -1,21 +1,20 @@
 """Greedy choice among clusters that share reads: the heaviest cluster takes its reads from all others, again and again.
 
-The choice only depends on clusters that are linked by shared reads, so it runs
-apart in each connected component of the graph of clusters and reads. The
-components come from label propagation over hash joins, where every cluster
-takes the least label it sees through its reads and then that label's own
-label; labels are pre-aggregated per read, so a read in many clusters makes no
-pairs of clusters.
+One choice after the other would be one task. But a cluster that is better than
+every cluster it shares a read with is chosen before any of these, and its
+weight can't change until then, since only their choice takes reads from it. So
+each round chooses all such clusters at once, which gives just the clusters of
+the sequential choice. A round is a few hash joins on reads and clusters; the
+best of a read is an aggregate, so a read in many clusters makes no pairs.
+
+`components` links clusters by shared reads, by label propagation: every cluster
+takes the least label it sees through its reads, then that label's own label.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandwise.runtime import checkpointed
 
@@ -38,89 +37,43 @@ def components(links: DataFrame, left: str, right: str, most_rounds: int = 60) -
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def choose(clusters: dict, weights: dict, same_chrom: dict, tie: dict, subtract: bool = True) -> list[tuple]:
-    """`clusters`: id -> {read: weight}. Returns (step, rank, id, reads): the clusters in the order in which they are chosen.
+def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: str, mate_chrom: str, size: str, mismatches: str, most_rounds: int = 500) -> DataFrame:
+    """Chosen clusters: `leader`, `rank` (0, 1, ... among the equal clusters that go together), `cluster`, `n_reads`, `weight`, `first_read`.
 
-    The best has the largest weight, is on one chromosome rather than two, has
-    the larger first read name, then the smaller id. Clusters with just its
-    reads go with it, by `tie` and id. With `subtract=False` taken reads add
-    to the weight of the clusters that lose them instead.
-    """
-    reads = {c: dict(r) for c, r in clusters.items()}
-    weight = dict(weights)
-    by_read: dict = {}
-    for c, r in reads.items():
-        for name in r:
-            by_read.setdefault(name, set()).add(c)
-
-    def key(c):
-        first = min(reads[c])
-        return (-round(weight[c], 10), not same_chrom[c], _Reversed(first), c)
-
-    version = dict.fromkeys(reads, 0)
-    heap = [(key(c), 0, c) for c in reads if reads[c]]
-    heapq.heapify(heap)
-    out, step = [], 0
-    while heap:
-        _, v, c = heapq.heappop(heap)
-        if version[c] != v or not reads[c]:
-            continue
-        own = set(reads[c])
-        equal = [d for d in set.intersection(*[by_read[r] for r in own]) if set(reads[d]) == own and round(weight[d], 10) == round(weight[c], 10) and same_chrom[d] == same_chrom[c]]
-        equal.sort(key=lambda d: (tie[d], d))
-        for rank, d in enumerate(equal):
-            out.append((step, rank, d, sorted(own)))
-        touched = set()
-        for r in own:
-            for d in by_read.pop(r):
-                w = reads[d].pop(r)
-                if d not in equal:
-                    weight[d] += -w if subtract else w
-                    touched.add(d)
-        for d in equal:
-            reads[d] = {}
-        for d in touched:
-            version[d] += 1
-            if reads[d]:
-                heapq.heappush(heap, (key(d), version[d], d))
-        step += 1
-    return out
-
-
-class _Reversed:
-    """A name that sorts the other way round."""
-
-    def __init__(self, value: str) -> None:
-        self.value = value
-
-    def __lt__(self, other: _Reversed) -> bool:
-        return other.value < self.value
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Reversed) and other.value == self.value
-
-
-def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: str, mate_chrom: str, size: str, mismatches: str, subtract: bool = True) -> DataFrame:
-    """Chosen clusters: `component`, `step` (order inside the component), `rank` (secondary order of equal clusters), `cluster`, `n_reads`, `weight`.
-
-    A member without a read name takes part in nothing; of repeated members the
-    heaviest counts. Equal clusters are ordered by mean size on one chromosome,
-    else by mismatches.
+    The order of choice is that of weight (largest first), one chromosome before
+    two, larger first read name, smaller id. A cluster that no longer has a read
+    of its own is not chosen. Equal clusters have just the same reads left and
+    the same weight; they are ordered by mean size on one chromosome, else by
+    mismatches, then by id. A member without a read name takes part in nothing;
+    of repeated members the heaviest counts.
     """
     rows = members.where(F.col(cluster).isNotNull() & F.col(read).isNotNull())
-    rows = rows.groupBy(F.col(cluster).alias("cluster"), F.col(read).alias("read")).agg(F.max(F.coalesce(weight, F.lit(0.0))).alias("w"), F.bool_and(F.coalesce(F.col(chrom) == F.col(mate_chrom), F.lit(False))).alias("same"), F.avg(F.abs(size)).alias("size"), F.sum(F.coalesce(mismatches, F.lit(0))).alias("mm"))
-    of = components(rows, "cluster", "read")
-    schema = T.StructType([T.StructField("component", rows.schema["cluster"].dataType), T.StructField("step", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("cluster", rows.schema["cluster"].dataType), T.StructField("n_reads", T.LongType()), T.StructField("weight", T.DoubleType())])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        clusters, same, tie = {}, {}, {}
-        for c, own in group.groupby("cluster"):
-            clusters[c] = dict(zip(own["read"], own["w"], strict=True))
-            same[c] = bool(own["same"].all())
-            mean = own["size"].mean()
-            tie[c] = (mean if mean == mean else 0.0) if same[c] else float(own["mm"].sum())
-        total = {c: sum(r.values()) for c, r in clusters.items()}
-        chosen = choose(clusters, total, same, tie, subtract)
-        return pd.DataFrame([(group["component"].iloc[0], s, r, c, len(reads), sum(clusters[c][x] for x in reads)) for s, r, c, reads in chosen], columns=schema.names)
-
-    return rows.join(of, "cluster").groupBy("component").applyInPandas(run, schema)
+    rows = rows.groupBy(F.col(cluster).alias("c"), F.col(read).alias("r")).agg(F.max(F.coalesce(weight, F.lit(0.0))).alias("w"), F.bool_and(F.coalesce(F.col(chrom) == F.col(mate_chrom), F.lit(False))).alias("same"), F.avg(F.abs(size)).alias("size"), F.sum(F.coalesce(mismatches, F.lit(0))).alias("mm"))
+    rows = checkpointed(rows)
+    fixed = rows.groupBy("c").agg(F.bool_and("same").alias("same"), F.avg("size").alias("size"), F.sum("mm").alias("mm"))
+    fixed = checkpointed(fixed.select("c", "same", F.when(F.col("same"), F.coalesce("size", F.lit(0.0))).otherwise(F.col("mm").cast("double")).alias("tie")))
+    left, chosen = rows.select("c", "r", "w"), []
+    for _ in range(most_rounds):
+        if left.isEmpty():
+            break
+        heads = left.groupBy("c").agg(F.round(F.sum("w"), 10).alias("weight"), F.min("r").alias("first"), F.count(F.lit(1)).alias("n")).join(fixed, "c")
+        heads = checkpointed(heads.withColumn("key", F.struct("weight", "same", "first", (-F.col("c")).alias("no"))))
+        keyed = left.join(heads.select("c", "key"), "c")
+        best = keyed.groupBy("r").agg(F.max("key").alias("top"))
+        # The best of all clusters that it shares a read with: nothing can change its weight before its turn.
+        winners = keyed.join(best, "r").groupBy("c").agg(F.bool_and(F.col("key") == F.col("top")).alias("wins")).where("wins").select(F.col("c").alias("leader"))
+        taken = checkpointed(left.join(winners, F.col("c") == F.col("leader")).select("leader", "r"))
+        shared = left.join(taken, "r").groupBy("leader", "c").agg(F.count(F.lit(1)).alias("shared"))
+        lead = heads.select(F.col("c").alias("leader"), F.col("n").alias("ln"), F.col("weight").alias("lw"), F.col("same").alias("ls"))
+        equal = shared.join(heads, "c").join(lead, "leader").where("shared = n and n = ln and weight = lw and same = ls")
+        chosen.append(checkpointed(equal.select("leader", "c", "n", "weight", "first", "tie")))
+        left = checkpointed(left.join(taken.select("r"), "r", "left_anti").select("c", "r", "w"))
+    else:
+        raise RuntimeError(f"the choice did not end in {most_rounds} rounds")
+    every = None
+    for part in chosen:
+        every = part if every is None else every.unionByName(part)
+    if every is None:
+        every = rows.select(F.col("c").alias("leader"), "c", F.lit(0).cast("long").alias("n"), F.col("w").alias("weight"), F.col("r").alias("first"), F.lit(0.0).alias("tie"))
+    rank = F.row_number().over(Window.partitionBy("leader").orderBy("tie", "c")) - 1
+    return every.select("leader", rank.alias("rank"), F.col("c").alias("cluster"), F.col("n").alias("n_reads"), "weight", F.col("first").alias("first_read"))

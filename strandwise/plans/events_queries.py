@@ -122,7 +122,7 @@ def a17_votes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def a22_chosen(spark: SparkSession, folder: str) -> DataFrame:
-    """Greedy choice of clusters by weight, each read used once."""
+    """Greedy choice of clusters by weight, each read used once."""
     return pack_sets(members(spark, folder), "cluster_id", "name", "weight", "chrom", "mate_chrom", "isize", "nm")
 
 

@@ -12,7 +12,7 @@ from strandwise.operators.coverage import coverage
 from strandwise.operators.gap_clusters import gap_clusters, wildcard_clusters
 from strandwise.operators.intervals import LEVELS, exists_overlap, fold_overlap, overlap_join, point_join
 from strandwise.operators.pairing import confidence, insertion_score, strand_modes
-from strandwise.operators.set_packing import choose, components, pack_sets
+from strandwise.operators.set_packing import components, pack_sets
 
 
 @pytest.mark.parametrize("how", ["max", "sum"])
@@ -98,29 +98,45 @@ def test_ladder_and_score(spark):
     assert spark.range(1).select(insertion_score(lit(25), lit(10), lit(12), lit(5))).first()[0] == 3.0
 
 
+def one_by_one(clusters):
+    """Sequential choice: cluster -> {read: weight}; gives (leader, {equal clusters}) in order."""
+    left, out = {c: dict(m) for c, m in clusters.items()}, []
+    while any(left.values()):
+        key = lambda c: (round(sum(left[c].values()), 10), min(left[c]), -c)
+        best = max((c for c in left if left[c]), key=key)
+        equal = {c for c in left if set(left[c]) == set(left[best]) and key(c)[0] == key(best)[0]}
+        out.append((best, equal))
+        for read in list(left[best]):
+            for m in left.values():
+                m.pop(read, None)
+    return out
+
+
+def frame(spark, clusters, more=()):
+    rows = [(c, r, w, "1", "1", 300, 0) for c, m in clusters.items() for r, w in m.items()]
+    return spark.createDataFrame(rows + list(more), "c long, r string, w double, a string, b string, size long, mm long")
+
+
 def test_greedy_choice(spark):
     clusters = {1: {"r1": 1.0, "r2": 1.0, "r3": 1.0}, 2: {"r3": 1.0, "r4": 1.0}, 3: {"r4": 1.0}}
-    got = choose(clusters, {c: sum(r.values()) for c, r in clusters.items()}, dict.fromkeys(clusters, True), dict.fromkeys(clusters, 0.0))
-    assert got == [(0, 0, 1, ["r1", "r2", "r3"]), (1, 0, 2, ["r4"]), (1, 1, 3, ["r4"])]
-    rows = [(c, r, w, "1", "1", 300, 0) for c, rs in clusters.items() for r, w in rs.items()] + [(7, "z", 1.0, "1", "2", None, None), (8, None, 1.0, "1", "1", 1, 1)]
-    df = spark.createDataFrame(rows, "c long, r string, w double, a string, b string, size long, mm long")
-    packed = {(x.component, x.step, x.rank, x.cluster) for x in pack_sets(df, "c", "r", "w", "a", "b", "size", "mm").collect()}
-    assert packed == {(1, 0, 0, 1), (1, 1, 0, 2), (1, 1, 1, 3), (7, 0, 0, 7)}
+    df = frame(spark, clusters, [(7, "z", 1.0, "1", "2", None, None), (8, None, 1.0, "1", "1", 1, 1)])
+    got = {(x.leader, x.rank, x.cluster, x.n_reads) for x in pack_sets(df, "c", "r", "w", "a", "b", "size", "mm").collect()}
+    assert got == {(1, 0, 1, 3), (2, 0, 2, 1), (2, 1, 3, 1), (7, 0, 7, 1)}
+    assert pack_sets(df.where("false"), "c", "r", "w", "a", "b", "size", "mm").count() == 0
 
 
-def test_every_read_is_used_once_and_the_heaviest_goes_first():
+def test_choice_in_rounds_is_that_of_one_by_one(spark):
     rnd = random.Random(4)
-    clusters = {c: {f"r{rnd.randrange(30)}": float(rnd.randint(1, 3)) for _ in range(rnd.randint(1, 6))} for c in range(40)}
-    weights = {c: sum(r.values()) for c, r in clusters.items()}
-    got = choose(clusters, weights, dict.fromkeys(clusters, True), dict.fromkeys(clusters, 0.0))
-    taken: set = set()
-    for step in sorted({s for s, *_ in got}):
-        own = {r for s, _, _, reads in got if s == step for r in reads}
-        left = {c: sum(w for r, w in m.items() if r not in taken) for c, m in clusters.items() if set(m) - taken}
-        chosen = [c for s, rank, c, _ in got if s == step and rank == 0][0]
-        assert left[chosen] == max(left.values()) and not own & taken
-        taken |= own
-    assert taken == {r for m in clusters.values() for r in m}
+    clusters = {c: {f"r{rnd.randrange(40)}" if rnd.random() < 0.8 else "hot": float(rnd.randint(1, 3)) for _ in range(rnd.randint(1, 6))} for c in range(60)}
+    got = pack_sets(frame(spark, clusters), "c", "r", "w", "a", "b", "size", "mm").collect()
+    groups: dict = {}
+    for x in got:
+        groups.setdefault((-x.weight, x.leader), set()).add(x.cluster)
+    want = one_by_one(clusters)
+    assert {leader: own for (_, leader), own in groups.items()} == dict(want)
+    order = {leader: i for i, (leader, _) in enumerate(want)}
+    weights = [-w for w, leader in sorted(groups, key=lambda g: order[g[1]])]
+    assert weights == sorted(weights, reverse=True)
 
 
 def test_components(spark):
