@@ -138,7 +138,7 @@ def split_items(items: DataFrame, records: DataFrame, keys: Sequence[str], start
     # The start of an item is a boundary too, with the label of the record there, if any.
     first = found.join(side, same).where("at = lo").groupBy(*k).agg(F.min("label").alias("label"))
     starts = large.join(first.withColumnsRenamed({x: f"r_{x}" for x in k}), same, "left").select(*k, F.col("lo").alias("at"), "label", "lo", "hi")
-    starts_at = inside.groupBy(*k, "at", "lo", "hi").agg(F.min("label").alias("label")).unionByName(starts)
+    starts_at = checkpointed(inside.groupBy(*k, "at", "lo", "hi").agg(F.min("label").alias("label")).unionByName(starts))
 
     # A chunk's view has its records and those of the chunk before that its overlap may reach.
     cell = F.shiftright(F.col("at") - F.col("lo"), CHUNK_BITS)
@@ -147,7 +147,7 @@ def split_items(items: DataFrame, records: DataFrame, keys: Sequence[str], start
     view = own.unionByName(near)
     here = Window.partitionBy(*k, "cell").orderBy("at")
     view = view.withColumns({"reach": F.min("at").over(here.rangeBetween(-overlap, 0)), "prior": F.lag("label").over(here)}).where("not ghost").drop("ghost")
-    view = view.withColumn("no", F.row_number().over(here))
+    view = checkpointed(view.withColumn("no", F.row_number().over(here)))
     # What comes before the first record of a chunk: one row a chunk, so a window over an item is short.
     inner = F.max((F.col("no") > 1) & ~F.col("label").eqNullSafe(F.col("prior")))
     cells = view.groupBy(*k, "cell").agg(F.max_by("label", "at").alias("last_label"), F.min_by("label", "at").alias("first_label"), inner.alias("changes"))

@@ -64,3 +64,12 @@ def test_empty(spark):
     assert mixture.count() == 0 and [(r.source, r.actual_tokens, r.actual_share, r.is_short) for r in report.collect()] == [("a", 0, None, False)]
     no_targets = mix(none, "blocks", F.col("source"), F.col("n"), targets.where("false"))
     assert no_targets[0].count() == no_targets[1].count() == 0
+
+
+def test_null_ids_and_hot_source(spark):
+    rows = [(None, "a", 10)] * 3 + [(i, "a", 10) for i in range(300)] + [(i, "b", 1_000_000) for i in range(1)]
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    mixture, report = mix(spark.createDataFrame(rows, "source_id long, source string, n int"), "source_id", F.col("source"), F.col("n"), targets, block=8)
+    got = mixture.collect()
+    assert all(1 <= r.repeats <= 3 for r in got) and sum(r.source_id is None for r in got) == 3
+    assert {r.source: r.is_short for r in report.collect()} == {"a": True, "b": False}

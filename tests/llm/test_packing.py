@@ -64,3 +64,13 @@ def test_empty_and_names(spark):
     assert container_report(pack(empty, "id", F.col("size"), 10), 10).first().n_containers == 0
     none = spark.createDataFrame([("a", None)], "item string, size long")
     assert [tuple(r) for r in pack(none, "item", F.col("size"), 10).collect()] == [("a", 0, 0, 0)]
+
+
+def test_null_ids_clashing_names_and_a_very_large_item(spark):
+    df = spark.createDataFrame([(None, 7, 1), (None, 7, 2), (5, 10_000_003, 3)], "item long, part long, along long")
+    got = pack(df, "item", F.col("part"), 10).collect()
+    assert sum(r.n_tokens for r in got) == 10_000_017 and sum(r.item is None for r in got) == 2
+    used = {}
+    for r in got:
+        used[r.container_id] = used.get(r.container_id, 0) + r.n_tokens
+    assert max(used.values()) == 10 and len(used) == 1_000_002
