@@ -154,18 +154,25 @@ def looks_garbled(word: str) -> bool:
     return any(utf16_text(run) is not None for run in ASCII_PAIR.findall(word))
 
 
-def forms(word: str, wide_only: bool) -> dict[str, tuple[str, str]]:
+def _pieces(form: str, word: str) -> list[str]:
+    pieces = WORD_BREAK.split(form)
+    if SOFT_SPACE.search(form):
+        pieces += [p for p in SOFT_SPACE.split(form) if len(p) > 1]
+    return [p for p in pieces if p not in word]  # what stands beside the space may be clean
+
+
+def chains(word: str, form: str) -> list[tuple[str, str]]:
+    """Every chain of kind `same` that makes the form of the word, question marks or not, with the chain the other way round."""
+    made = {c.rstrip("?") for f, c, kind in once(word) if kind == "same" and form in _pieces(f, word)}
+    return [(c, ">".join(reversed(c.split(">")))) for c in sorted(made)]
+
+
+def forms(word: str, is_run: bool) -> dict[str, tuple[str, str]]:
     """form -> (chain, kind), the surest kind first; also the parts of a form that a soft space divides, if they have characters beyond ASCII."""
     out: dict[str, tuple[str, str]] = {}
     rank = {"wide": 0, "lossy": 1, "same": 2}
-    for form, chain, kind in (*once(word), *(() if looks_garbled(word) else twice(word)), *(() if wide_only else one_character(word))):
-        if wide_only and kind == "same":
-            continue
-        pieces = WORD_BREAK.split(form)
-        if SOFT_SPACE.search(form):
-            pieces += [p for p in SOFT_SPACE.split(form) if len(p) > 1]
-        pieces = [p for p in pieces if p not in word]  # what stands beside the space may be clean
-        for piece in pieces:
+    for form, chain, kind in (*once(word), *(() if looks_garbled(word) else twice(word)), *(() if is_run else one_character(word))):
+        for piece in _pieces(form, word):
             if piece and (not piece.isascii() or (chain[-1] == "?" and QUESTION.search(piece))) and (piece not in out or rank[kind] < rank[out[piece][1]]):
                 out[piece] = chain, kind
     return out

@@ -1,7 +1,8 @@
 """Finding and repairing text that was decoded with the wrong character encoding.
 
 1. *Words*: the distinct words with characters beyond ASCII, and in how many
-   documents each stands, are counted; a task counts its own documents first.
+   different texts each stands, are counted (copies of a text count once); a
+   task counts its own texts first.
    Digits do not tell words apart. Also the distinct runs of such characters
    inside the words, so that a word that is rare or stands beside a name nobody
    else uses is covered by its runs.
@@ -9,7 +10,8 @@
    `encodings`), which gives a table of garbled forms.
 3. *Join*: words of the corpus that equal a form are garbled. A `wide` form
    settles it; of two words that could each be the other's form, the one that
-   stands in a quarter of the other's documents or fewer is the garbled one;
+   stands in a quarter of the other's texts or fewer is the garbled one, and
+   what that leaves open goes by the words beside them (`_by_neighbours`);
    a run of replacement characters always is.
 4. Spans of ASCII that were read as UTF-16 have no word limits. They are turned
    back, and count if their inner words are words of the corpus.
@@ -30,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.encodings import ASCII_PAIR, QUESTION, REPLACED, RUN, SPACE, WORD_BREAK, forms, normal, utf16_text, with_digits
+from strandwise.llm.encodings import ASCII_PAIR, QUESTION, REPLACED, RUN, SPACE, WORD_BREAK, chains, forms, normal, utf16_text, with_digits
 from strandwise.runtime import checkpointed, small_side
 
-#: How many times as many documents the clean one of two interchangeable words must have.
+#: How many times as many texts settle at once which of two interchangeable words is the clean one.
 CLEAN_RATIO = 4
+#: Characters from which on a word, or a run, is hardly another's form by chance.
+LONG = 3
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 200_000
 FORM_TASKS = 64
@@ -89,6 +93,26 @@ def _mention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string())], ["id", "word"])
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, text -> id, word, odd: the distinct suspects of each text, and how many there are."""
+    for batch in batches:
+        at, words, odd = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            own = _suspects(set(words_of(text)))
+            at += [i] * len(own)
+            words += own
+            odd += [len(own)] * len(own)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(odd, pa.int64())], ["id", "word", "odd"])
+
+
+def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """word, source, ... -> the same for every chain between them, with `chain` and `back`."""
+    for batch in batches:
+        named = [chains(s, w) for s, w in zip(batch["source"], batch["word"], strict=True)]
+        out = batch.loc[batch.index.repeat([len(n) for n in named])].reset_index(drop=True)
+        yield out.assign(chain=[c for n in named for c, _ in n], back=[b for n in named for _, b in n])
+
+
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """word, docs, is_run -> form, word, docs, is_run, chain, kind."""
     for batch in batches:
@@ -113,24 +137,74 @@ def _turned_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _put_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, runs, sources -> word, source: the word with its runs replaced, null if one of the garbled runs has no source."""
+    """word, runs, sources, chain -> word, source, chain: the word with its runs replaced, null if one of the garbled runs has no source."""
     for batch in batches:
         out = []
         for word, runs, sources in zip(batch["word"], batch["runs"], batch["sources"], strict=True):
             known = dict(zip(runs, sources, strict=True))
             whole = all(s is not None for s in known.values())
             out.append(RUN.sub(lambda m, known=known: known.get(m.group(), m.group()), word) if whole else None)
-        yield pd.DataFrame({"word": batch["word"], "source": out})
+        yield pd.DataFrame({"word": batch["word"], "source": out, "chain": batch["chain"]})
+
+
+def _by_neighbours(texts: DataFrame, hits: DataFrame, clear: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Which of the words that numbers of texts leave open are garbled, by the other words of their texts.
+
+    A garbled stretch has all its words through one chain. For each word that is
+    a form under a chain, the share of the other words of its texts that are
+    forms under it too is taken; it is garbled if there is any in at least half
+    of its texts, and the share is above that of its counterpart under the chain
+    the other way round. Words of fewer than `LONG` characters and words that
+    are only forms run by run are garbled if half of their texts or more hold
+    another word that is so under the chain.
+
+    Out: `word`, `source`, `chain` of whole words, and the same of those that went by short words or runs.
+    """
+    other_way = clear.select(F.col("source").alias("word"), F.col("word").alias("source"), "is_run")
+    same = hits.where("kind = 'same'").join(other_way, ["word", "source", "is_run"], "left_anti")
+    named = checkpointed(same.select("word", "source", "is_run", "docs", "source_docs").mapInPandas(_chains, "word string, source string, is_run boolean, docs long, source_docs long, chain string, back string"))
+    whole = named.where("not is_run")
+    certain = F.when(F.char_length("run") < LONG, F.col("source_docs") > F.col("run_docs")).otherwise(F.col("source_docs") >= F.col("run_docs"))
+    by_run = runs.select("word", "run").join(named.where("is_run").select(F.col("word").alias("run"), "source", F.col("docs").alias("run_docs"), "source_docs", "chain"), "run").where(certain)
+    by_run = by_run.groupBy("word", "run", "chain").agg(F.min("source").alias("source")).groupBy("word", "chain").agg(F.collect_list("run").alias("runs"), F.collect_list("source").alias("sources"))
+    by_run = by_run.join(runs.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").where(F.size("runs") == F.col("n")).drop("n")
+    by_run = checkpointed(by_run)
+
+    asked = checkpointed(whole.select("word").unionByName(by_run.select("word")).distinct())
+    near = texts.where("octet_length(text) > char_length(text) or instr(text, '?') > 0").select(F.md5("text").alias("id"), "text").mapInArrow(_beside, "id string, word string, odd long")
+    near = checkpointed(near.join(small_side(asked), "word").distinct())
+
+    is_long = F.char_length("word") >= LONG
+    held = near.join(whole.select("word", "chain").distinct(), "word").withColumn("long", is_long.cast("int"))
+    beside = held.join(held.groupBy("id", "chain").agg(F.sum("long").alias("n")), ["id", "chain"]).withColumn("others", F.col("n") - F.col("long"))
+    per = checkpointed(beside.groupBy("word", "chain").agg(F.avg(F.col("others") / F.greatest(F.col("odd") - 1, F.lit(1))).alias("share"), F.avg((F.col("others") > 0).cast("int")).alias("half")))
+    against = per.select(F.col("word").alias("source"), F.col("chain").alias("back"), F.col("share").alias("against"))
+    won = whole.where(is_long).join(per, ["word", "chain"]).join(against, ["source", "back"], "left").where("half >= 0.5 and share > coalesce(against, 0)")
+    settled = whole.join(clear.where("kind = 'same' and not is_run").select("word", "source"), ["word", "source"], "left_semi")
+    won = checkpointed(won.select("word", "source", "chain").unionByName(settled.where(is_long).select("word", "source", "chain")).distinct())
+
+    # A pair that was settled, or won, leaves no open question for its source.
+    clean = won.select(F.col("source").alias("word")).distinct()
+    short = whole.where(~is_long & (F.col("source_docs") > F.col("docs"))).groupBy("word", "chain").agg(F.min("source").alias("source"))
+    late = short.unionByName(by_run.mapInPandas(_put_in, "word string, source string, chain string")).where("source is not null")
+    late = late.join(won.select("word").distinct(), "word", "left_anti").join(clean, "word", "left_anti")
+    seeds = near.join(won.select("word", "chain").distinct(), "word").select("id", "chain").distinct().withColumn("seeded", F.lit(1))
+    asked_late = near.select("id", "word").join(late, "word").join(seeds, ["id", "chain"], "left")
+    late = asked_late.groupBy("word", "source", "chain").agg(F.avg(F.coalesce("seeded", F.lit(0))).alias("half")).where("half >= 0.5")
+    first = Window.partitionBy("word").orderBy(F.desc("half"), "chain", "source")
+    late = late.withColumn("no", F.row_number().over(first)).where("no = 1").select("word", "source", "chain")
+    return won, checkpointed(late)
 
 
 def garbled_words(docs: DataFrame) -> DataFrame:
     """The garbled words of a corpus: `word` (normalised), `source` (the clean word, null if it can't be told), `chain`, `weak`.
 
     `docs` has a column `text` without nulls. A word is `weak` if it is a single
-    character and only document counts speak against it; it then needs another
+    character and only numbers of texts speak against it; it then needs another
     garbled word beside it.
     """
-    counted = docs.select("text").mapInArrow(_count, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
+    texts = docs.select("text").distinct()
+    counted = texts.mapInArrow(_count, "word string, docs long").groupBy("word").agg(F.sum("docs").alias("docs"))
     counted = checkpointed(counted)
     odd = counted.where("docs > 0")
     plain = counted.where("docs = 0").select("word")
@@ -141,7 +215,10 @@ def garbled_words(docs: DataFrame) -> DataFrame:
     units = checkpointed(units.repartition(FORM_TASKS, "word"))
     made = units.mapInPandas(_forms, "form string, source string, source_docs long, form_is_run boolean, chain string, kind string")
     hits = made.join(units, (F.col("form") == F.col("word")) & (F.col("form_is_run") == F.col("is_run"))).select("word", "docs", "is_run", "source", "source_docs", "chain", "kind")
-    hits = checkpointed(hits.where(f"kind <> 'same' or source_docs >= {CLEAN_RATIO} * docs"))
+    hits = checkpointed(hits)
+    clear = hits.where(f"kind <> 'same' or (not is_run and source_docs >= {CLEAN_RATIO} * docs)")
+    won, late = _by_neighbours(docs.select("text"), hits, clear, runs)
+    hits = checkpointed(clear.unionByName(hits.where("kind = 'same' and not is_run").join(won.select("word", "source").distinct(), ["word", "source"], "left_semi")).distinct())
 
     # Of the sources of a word, those that are not garbled themselves come first, then the surest kind, then the one in most documents.
     bad = hits.select(F.col("word").alias("source"), "is_run").distinct().withColumn("impure", F.lit(True))
@@ -153,14 +230,15 @@ def garbled_words(docs: DataFrame) -> DataFrame:
     by_word = best.where("not is_run").select("word", "source", "chain", ((F.char_length("word") == 1) & (F.col("kind") == "same")).alias("weak"))
     in_runs = runs.join(best.where("is_run").select(F.col("word").alias("run"), "source", "chain"), "run").groupBy("word").agg(F.collect_list("run").alias("runs"), F.collect_list(F.coalesce("source", F.lit(""))).alias("filled"), F.min("chain").alias("chain"))
     in_runs = in_runs.select("word", "runs", F.transform("filled", lambda s: F.when(s != "", s)).alias("sources"), "chain")
-    by_run = in_runs.mapInPandas(_put_in, "word string, source string").join(in_runs.select("word", "chain"), "word").withColumn("weak", F.lit(False))
+    by_run = in_runs.mapInPandas(_put_in, "word string, source string, chain string").withColumn("weak", F.lit(False))
+    by_text = late.withColumn("weak", F.char_length("word") == 1)
     lost = odd.where(F.col("word").contains(REPLACED)).select("word", F.lit(None).cast("string").alias("source"), F.lit("lost").alias("chain"), F.lit(False).alias("weak"))
     back = odd.where(F.col("word").rlike(ASCII_PAIR.pattern)).select("word").mapInPandas(_turned_back, "word string, repaired string, inner string")
     back = back.join(plain.withColumnRenamed("word", "inner").withColumn("known", F.lit(1)), "inner", "left").groupBy("word", "repaired").agg(F.count("inner").alias("n"), F.count("known").alias("known"))
     back = back.where("2 * known >= n").select("word", F.col("repaired").alias("source"), F.lit("ascii>utf-16").alias("chain"), F.lit(False).alias("weak"))
 
     every = None
-    for order, part in enumerate((back, by_word, by_run, lost)):
+    for order, part in enumerate((back, by_word, by_run, by_text, lost)):
         part = part.withColumn("order", F.lit(order))
         every = part if every is None else every.unionByName(part)
     first = Window.partitionBy("word").orderBy(F.col("source").isNull(), "order")

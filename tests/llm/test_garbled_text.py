@@ -107,3 +107,16 @@ def test_forms():
     assert normal("RG053é12") == "RG0é0" and with_digits("RG0e0", "RG053é12") == "RG053e12" and with_digits("RG0", "RG5é1") is None
     assert utf16_text("ab cd ef".encode().decode("utf-16-le")) == "ab cd ef" and utf16_text("日本") is None
     assert unicodedata.normalize("NFC", "é") in forms("é", True) or forms("é", True)
+
+
+def test_copies_and_words_that_numbers_leave_open(spark):
+    """A garbled text of which a third of the rows are copies, and one whose clean words stand in a single other text."""
+    bad = garble("Файл загружен не полностью, порядке 12 строк", "cp1251", "koi8-r")
+    clean = [f"Файл загружен не полностью, порядке 12 строк: {chr(97 + i)}" for i in range(9)] + [f"garde près résultat numéro {chr(97 + i)}" for i in range(11)]
+    rare = "Прочтений образце найдено пары без"
+    rows = [*clean, *[bad] * 10, f"{rare} résultat numéro", garble(rare, "cp1251", "koi8-r")]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    want = {i: "Файл загружен не полностью, порядке 12 строк" for i in range(20, 30)} | {31: rare}
+    got = {r.id: r.restored for r in repair_garbled(df, "id", "text").collect()}
+    assert got == want
+    assert {r.id for r in find_garbled(df, "id", "text").collect()} == set(want)
