@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandwise.operators.carry import running
 from strandwise.operators.gap_clusters import gap_clusters, wildcard_clusters
 from strandwise.operators.intervals import overlap_join
 from strandwise.operators.pairing import WILDCARD, confidence, insertion_score, pair_strands, signal_to_noise, strand_modes
@@ -12,6 +13,7 @@ from strandwise.plans.records import PAIRS_SQL, pairs
 from strandwise.runtime import checkpointed
 
 GAP = 2_000
+WILDCARD_GAP = 250
 PAIR_GAP = 4_000
 READ_LEN = 100
 MARGIN = 300
@@ -41,10 +43,13 @@ _CLUSTERS = f"""{_ANCHORED}, lagged as (select *, lag(pos) over (partition by ch
 
 
 def w1_wildcard(spark: SparkSession, folder: str) -> DataFrame:
-    """Clusters by family in which wildcard records join those of the other families; inside megabase cells."""
-    rows = _anchored(spark, folder).withColumn("cell", F.shiftright("pos", 20))
-    members = wildcard_clusters(rows, ["chrom", "strand", "cell"], "family", "pos", "id", 250, WILDCARD)
-    return members.groupBy("chrom", "strand", "cell", "family", "cluster_no").agg(F.min("pos").alias("s"), F.max("pos").alias("e"), F.count(F.lit(1)).alias("ram"))
+    """Clusters by family in which wildcard records join those of the other families, numbered from 0 along each chromosome, strand and family."""
+    # A step above the gap ends the open clusters of all families, so runs without one can be scanned apart.
+    rows = gap_clusters(_anchored(spark, folder), ["chrom", "strand"], "pos", WILDCARD_GAP).withColumnRenamed("cluster_start", "run")
+    members = wildcard_clusters(rows, ["chrom", "strand", "run"], "family", "pos", "id", WILDCARD_GAP, WILDCARD)
+    clusters = members.groupBy("chrom", "strand", "family", "run", "cluster_no").agg(F.min("pos").alias("s"), F.max("pos").alias("e"), F.count(F.lit(1)).alias("ram")).drop("run", "cluster_no")
+    numbered = running(checkpointed(clusters).withColumn("one", F.lit(1).cast("long")), ["chrom", "strand", "family"], "s", "one", "before", "sum", inclusive=False)
+    return numbered.select("chrom", "strand", "family", F.coalesce("before", F.lit(0)).alias("cluster_no"), "s", "e", "ram")
 
 
 def j7_strand_pairs(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,0 +1,12 @@
+"""Queries over whole inputs: what earlier bounds left out."""
+
+from strandwise.plans import insertions
+
+
+def test_wildcard_clusters_cross_megabases(spark, monkeypatch):
+    edge = 1 << 20
+    rows = [(1, "c", 1, edge - 100, "L1"), (2, "c", 1, edge + 50, "POLYA"), (3, "c", 1, edge + 200, "L1"), (4, "c", 1, edge + 900, "L1")]
+    df = spark.createDataFrame(rows, "id long, chrom string, strand int, pos long, family string")
+    monkeypatch.setattr(insertions, "_anchored", lambda *_: df)
+    got = {(r.family, r.cluster_no, r.s, r.e, r.ram) for r in insertions.w1_wildcard(spark, "").collect()}
+    assert got == {("L1", 0, edge - 100, edge + 200, 3), ("POLYA", 0, edge + 50, edge + 50, 1), ("L1", 1, edge + 900, edge + 900, 1)}
