@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from strandwise.operators.assignment import assign_clusters
 from strandwise.operators.events import INTRA, demote, event_name, intra_events, mechanism, single_event, smallest
-from strandwise.operators.intervals import exists_overlap, first_overlap, overlap_join
+from strandwise.operators.intervals import exists_overlap, overlap_join
 from strandwise.operators.set_packing import components, pack_sets
 from strandwise.plans.records import MEMBERS_SQL, REPEATS_SQL, group_stats, members, pairs, repeats
 from strandwise.runtime import checkpointed
 
 READ_LEN = 100
 LARGEST = 1_000_000_000
+LARGEST_ELEMENT = 100_000
+RATIO = 0.8
 
 
 def _clusters(spark: SparkSession, folder: str, support: int = 1) -> DataFrame:
@@ -99,15 +101,24 @@ def e6_inter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def e17_mechanism(spark: SparkSession, folder: str) -> DataFrame:
-    """The mechanism of each single event, by the repeats that it meets and its homology (mismatches stand for it)."""
-    rows = e8_singles(spark, folder).where("chrom = mate_chrom and `end` >= start and `end` - start <= 100000").distinct()
-    rows = rows.withColumn("id", F.struct("pid", "event", "start", "end"))
+    """The mechanism of each single event, by its repeats and its homology (mismatches stand for it).
+
+    Only events on one chromosome of up to 100,000 positions are explained by
+    repeats; `element` is null for the others.
+    """
+    rows = e8_singles(spark, folder).distinct().withColumn("id", F.struct("pid", "chrom", "mate_chrom", "event", "start", "end"))
+    asked = F.expr(f"chrom = mate_chrom and abs(`end` - start) <= {LARGEST_ELEMENT}")
+    # Null bounds match nothing.
+    rows = rows.withColumns({"lo": F.when(asked, F.least("start", "end")), "hi": F.when(asked, F.greatest("start", "end"))})
     r = repeats(spark, folder).withColumnsRenamed({"chrom": "rchrom", "e": "re", "s": "rs"})
-    shared = F.least("end", "re") - F.greatest("start", "rs") + 1
-    most = 0.8 * (F.col("end") - F.col("start") + 1)
-    simple = exists_overlap(rows, r.where("rclass in ('SIMPLE_REPEAT', 'SATELLITE', 'LOW_COMPLEXITY')"), "id", [("chrom", "rchrom")], ("start", "end"), ("rs", "re"), "simple", shared >= most)
+    shared = F.least("hi", "re") - F.greatest("lo", "rs") + 1
+    most, other = RATIO * (F.col("hi") - F.col("lo") + 1), RATIO * (F.col("re") - F.col("rs") + 1)
+    simple = exists_overlap(rows, r.where("rclass in ('SIMPLE_REPEAT', 'SATELLITE', 'LOW_COMPLEXITY')"), "id", [("chrom", "rchrom")], ("lo", "hi"), ("rs", "re"), "simple", shared >= most)
     mobile = r.where("rclass in ('LINE', 'SINE', 'LTR', 'DNA') and rname is not null")
-    found = first_overlap(simple, mobile, "id", [("chrom", "rchrom")], ("start", "end"), ("rs", "re"), [F.col("rs"), F.col("re"), F.col("rname")], {"element": F.col("rname")})
+    hits = overlap_join(rows.select("id", "chrom", "lo", "hi"), mobile, [("chrom", "rchrom")], ("lo", "hi"), ("rs", "re")).withColumns({"shared": shared, "most": most, "both": (shared >= most) & (shared >= other)})
+    per = hits.groupBy(F.col("id").alias("key")).agg(F.min(F.when(F.col("both"), F.struct("rs", "re", "rname"))).alias("first"), F.sum("shared").alias("total"), F.max("most").alias("most"))
+    per = per.select("key", F.when(F.col("first").isNotNull(), F.col("first.rname")).when(F.col("total") >= F.col("most"), "complex").alias("element"))
+    found = simple.join(per, F.col("id") == F.col("key"), "left")
     return found.withColumn("homology", F.col("size") % 150).select("pid", "event", "start", "end", "element", F.expr(mechanism("event", "homology", "element", "simple")).alias("mechanism"))
 
 

@@ -1,6 +1,6 @@
 """Queries over whole inputs: what earlier bounds left out."""
 
-from strandwise.plans import insertions
+from strandwise.plans import events_queries, insertions
 
 
 def test_wildcard_clusters_cross_megabases(spark, monkeypatch):
@@ -10,3 +10,12 @@ def test_wildcard_clusters_cross_megabases(spark, monkeypatch):
     monkeypatch.setattr(insertions, "_anchored", lambda *_: df)
     got = {(r.family, r.cluster_no, r.s, r.e, r.ram) for r in insertions.w1_wildcard(spark, "").collect()}
     assert got == {("L1", 0, edge - 100, edge + 200, 3), ("POLYA", 0, edge + 50, edge + 50, 1), ("L1", 1, edge + 900, edge + 900, 1)}
+
+
+def test_mechanism_of_every_single_event(spark, monkeypatch):
+    events = [(1, "c", "c", "del", 1000, 1100, 99), (2, "c", "c", "del", 5000, 5999, 150 * 6 + 120), (3, "c", "c", "del", 10_000, 900_000, 150 * 9 + 5), (4, "c", "d", "transl_inter", 10, 20, None), (4, "c", "e", "transl_inter", 10, 20, None), (5, "c", "c", "del", 20_000, 20_099, 98)]
+    reps = [("c", 1000, 1100, "ALU", "SINE"), ("c", 5990, 7000, "L1", "LINE"), ("c", 20_000, 20_044, "A", "SINE"), ("c", 20_050, 20_099, "B", "SINE"), ("c", 10_000, 900_000, "BIG", "LINE")]
+    monkeypatch.setattr(events_queries, "e8_singles", lambda *_: spark.createDataFrame(events, "pid long, chrom string, mate_chrom string, event string, start long, end long, size long"))
+    monkeypatch.setattr(events_queries, "repeats", lambda *_: spark.createDataFrame(reps, "chrom string, s long, e long, rname string, rclass string"))
+    got = sorted((r.pid, r.element, r.mechanism) for r in events_queries.e17_mechanism(spark, "").collect())
+    assert got == [(1, "ALU", "TEI"), (2, None, "NAHR"), (3, None, "alt-EJ"), (4, None, "NA"), (4, None, "NA"), (5, "complex", "TEI")]
