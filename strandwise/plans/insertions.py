@@ -77,7 +77,7 @@ def w7_adjacent(spark: SparkSession, folder: str) -> DataFrame:
 def _clips(spark: SparkSession, folder: str) -> DataFrame:
     """Clip votes: the position of a record, and the position after its mismatches are trimmed, once each."""
     rows = pairs(spark, folder).where("chrom is not null and pos is not null and nm > 0 and len >= 25")
-    return rows.select("chrom", "strand", F.explode(F.array_distinct(F.array(F.expr("pos div 50 * 50"), F.expr("(pos + nm) div 50 * 50")))).alias("pos"))
+    return rows.select("chrom", "strand", F.explode(F.array_distinct(F.array(F.col("pos"), F.col("pos") + F.col("nm")))).alias("pos"))
 
 
 def _regions(spark: SparkSession, folder: str) -> DataFrame:

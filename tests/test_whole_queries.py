@@ -19,3 +19,9 @@ def test_mechanism_of_every_single_event(spark, monkeypatch):
     monkeypatch.setattr(events_queries, "repeats", lambda *_: spark.createDataFrame(reps, "chrom string, s long, e long, rname string, rclass string"))
     got = sorted((r.pid, r.element, r.mechanism) for r in events_queries.e17_mechanism(spark, "").collect())
     assert got == [(1, "ALU", "TEI"), (2, None, "NAHR"), (3, None, "alt-EJ"), (4, None, "NA"), (4, None, "NA"), (5, "complex", "TEI")]
+
+
+def test_clips_vote_on_exact_positions(spark, monkeypatch):
+    rows = [("c", 1, 101, 3, 50), ("c", -1, 149, 1, 50)]
+    monkeypatch.setattr(insertions, "pairs", lambda *_: spark.createDataFrame(rows, "chrom string, strand int, pos long, nm long, len long"))
+    assert sorted(tuple(r) for r in insertions._clips(spark, "").collect()) == [("c", -1, 149), ("c", -1, 150), ("c", 1, 101), ("c", 1, 104)]
