@@ -54,13 +54,15 @@ def s8_region_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j10_near_repeat(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a repeat of a known class lies within 500 positions of both ends of a member (0: it does)."""
+    """Whether a repeat of a known class lies within 500 positions of either end of a member (0: it does)."""
     rows = members(spark, folder).where("chrom is not null and pos is not null and mate_pos is not null and chrom = mate_chrom")
     rows = rows.select("cluster_id", "chrom", F.least("pos", "mate_pos").alias("a"), F.greatest("pos", "mate_pos").alias("b")).distinct()
-    rows = rows.where("b - a < 1000").withColumns({"id": F.struct("cluster_id", "chrom", "a", "b"), "lo": F.col("a") - MARGIN, "hi": F.col("b") + MARGIN})
+    rows = rows.withColumn("id", F.struct("cluster_id", "chrom", "a", "b"))
     known = repeats(spark, folder).where("rclass is not null").withColumnRenamed("chrom", "rchrom")
-    flagged = exists_overlap(rows, known, "id", [("chrom", "rchrom")], ("lo", "hi"), ("s", "e"))
-    return flagged.select("cluster_id", "chrom", "a", "b", F.when(F.col("hit"), 0).otherwise(1).alias("oi"))
+    for end in ("a", "b"):
+        rows = rows.withColumns({"lo": F.col(end) - MARGIN, "hi": F.col(end) + MARGIN})
+        rows = exists_overlap(rows, known, "id", [("chrom", "rchrom")], ("lo", "hi"), ("s", "e"), f"at_{end}")
+    return rows.select("cluster_id", "chrom", "a", "b", F.when(F.col("at_a") | F.col("at_b"), 0).otherwise(1).alias("oi"))
 
 
 def j11_first_gene(spark: SparkSession, folder: str) -> DataFrame:

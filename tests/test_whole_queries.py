@@ -1,6 +1,6 @@
 """Queries over whole inputs: what earlier bounds left out."""
 
-from strandwise.plans import events_queries, insertions
+from strandwise.plans import events_queries, insertions, interval_queries, text_functions
 
 
 def test_wildcard_clusters_cross_megabases(spark, monkeypatch):
@@ -25,3 +25,16 @@ def test_clips_vote_on_exact_positions(spark, monkeypatch):
     rows = [("c", 1, 101, 3, 50), ("c", -1, 149, 1, 50)]
     monkeypatch.setattr(insertions, "pairs", lambda *_: spark.createDataFrame(rows, "chrom string, strand int, pos long, nm long, len long"))
     assert sorted(tuple(r) for r in insertions._clips(spark, "").collect()) == [("c", -1, 149), ("c", -1, 150), ("c", 1, 101), ("c", 1, 104)]
+
+
+def test_members_with_far_ends_are_flagged(spark, monkeypatch):
+    rows = [(1, "c", "c", 100, 5000), (2, "c", "c", 100, 20_000), (3, "c", "c", 9000, 9100), (4, "c", "c", 100, 9400)]
+    monkeypatch.setattr(interval_queries, "members", lambda *_: spark.createDataFrame(rows, "cluster_id long, chrom string, mate_chrom string, pos long, mate_pos long"))
+    monkeypatch.setattr(interval_queries, "repeats", lambda *_: spark.createDataFrame([("c", 5400, 8600, "R", "LINE")], "chrom string, s long, e long, rname string, rclass string"))
+    assert {r.cluster_id: r.oi for r in interval_queries.j10_near_repeat(spark, "").collect()} == {1: 0, 2: 1, 3: 0, 4: 1}
+
+
+def test_mates_of_any_mismatches(spark, monkeypatch):
+    rows = [(1, "r", 1, 9), (2, "r", -1, 1), (3, "r", -1, None)]
+    monkeypatch.setattr(text_functions, "pairs", lambda *_: spark.createDataFrame(rows, "id long, name string, strand int, nm long"))
+    assert [tuple(r) for r in text_functions.j2_mate_lookup(spark, "").collect()] == [(1, 2, 2)]
