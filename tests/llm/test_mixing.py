@@ -5,6 +5,7 @@ from fractions import Fraction
 from pyspark.sql import functions as F
 
 import strandwise.llm.mixing as mixing
+import strandwise.llm.token_sizes as token_sizes
 from strandwise.llm.mixing import mix, sainte_lague
 
 
@@ -73,3 +74,13 @@ def test_null_ids_and_hot_source(spark):
     got = mixture.collect()
     assert all(1 <= r.repeats <= 3 for r in got) and sum(r.source_id is None for r in got) == 3
     assert {r.source: r.is_short for r in report.collect()} == {"a": True, "b": False}
+
+
+def test_found_sources_come_from_the_mixture(spark, monkeypatch):
+    """The plan ranks records in shards, and a source is found whatever its rounding."""
+    docs = spark.createDataFrame([(i, "a", "x" * 900) for i in range(40)] + [(100 + i, "b", "y" * 100) for i in range(3)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    monkeypatch.setattr(token_sizes, "table", lambda spark, folder, name: {"documents": docs, "mix_targets": targets}[name])
+    found = token_sizes.p7_found(spark, "")
+    assert [r.source for r in found.collect()] == ["b"]
+    assert "Window" in found._jdf.queryExecution().optimizedPlan().toString()
