@@ -12,6 +12,7 @@ encoding, read as another, possibly twice. Kinds of chains:
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,10 +48,18 @@ def _table(encoding: str, undefined: str) -> list[str]:
     return out
 
 
+@lru_cache(None)
 def _has_holes(encoding: str) -> bool:
     return REPLACED in _table(encoding, "replace")
 
 
+@lru_cache(None)
+def _reader(encoding: str, undefined: str) -> tuple[str, bytes]:
+    """A table of 256 characters, and the bytes that are left out before it is used."""
+    table = _table(encoding, undefined)
+    return "".join(c or "?" for c in table), bytes(i for i, c in enumerate(table) if not c)
+
+
 def _write(text: str, encoding: str) -> bytes | None:
     """Bytes of a text; control characters that stand for undefined bytes are these bytes."""
     try:
@@ -71,8 +80,8 @@ def _write(text: str, encoding: str) -> bytes | None:
 
 
 def _read(data: bytes, encoding: str, undefined: str = "control") -> str:
-    table = _table(encoding, undefined)
-    return "".join([table[b] for b in data])
+    table, left_out = _reader(encoding, undefined)
+    return codecs.charmap_decode(data.translate(None, left_out) if left_out else data, "strict", table)[0]
 
 
 def once(word: str) -> Iterator[tuple[str, str, str]]:
@@ -154,28 +163,40 @@ def looks_garbled(word: str) -> bool:
     return any(utf16_text(run) is not None for run in ASCII_PAIR.findall(word))
 
 
+#: Any character at which a form falls into pieces.
+BREAK = re.compile(f"[{SPACE}\u00a0\u0085\u3000]")
+
+
 def _pieces(form: str, word: str) -> list[str]:
+    if not BREAK.search(form):
+        return [form] if form not in word else []
     pieces = WORD_BREAK.split(form)
     if SOFT_SPACE.search(form):
         pieces += [p for p in SOFT_SPACE.split(form) if len(p) > 1]
     return [p for p in pieces if p not in word]  # what stands beside the space may be clean
 
 
-def chains(word: str, form: str) -> list[tuple[str, str]]:
-    """Every chain of kind `same` that makes the form of the word, question marks or not, with the chain the other way round."""
-    made = {c.rstrip("?") for f, c, kind in once(word) if kind == "same" and form in _pieces(f, word)}
-    return [(c, ">".join(reversed(c.split(">")))) for c in sorted(made)]
+def forms_and_chains(word: str, is_run: bool) -> dict[str, tuple[str, str, list[str] | None]]:
+    """form -> (chain, kind, chains), the surest kind first; also the parts of a form that a soft space divides, if they have characters beyond ASCII.
 
-
-def forms(word: str, is_run: bool) -> dict[str, tuple[str, str]]:
-    """form -> (chain, kind), the surest kind first; also the parts of a form that a soft space divides, if they have characters beyond ASCII."""
+    `chains`, of kind `same` only, are all chains of that kind that make the
+    form of the word, question marks or not.
+    """
     out: dict[str, tuple[str, str]] = {}
+    ways: dict[str, set[str]] = {}
     rank = {"wide": 0, "lossy": 1, "same": 2}
     for form, chain, kind in (*once(word), *(() if looks_garbled(word) else twice(word)), *(() if is_run else one_character(word))):
         for piece in _pieces(form, word):
+            if kind == "same":
+                ways.setdefault(piece, set()).add(chain.rstrip("?"))
             if piece and (not piece.isascii() or (chain[-1] == "?" and QUESTION.search(piece))) and (piece not in out or rank[kind] < rank[out[piece][1]]):
                 out[piece] = chain, kind
-    return out
+    return {f: (chain, kind, sorted(ways[f]) if kind == "same" else None) for f, (chain, kind) in out.items()}
+
+
+def forms(word: str, is_run: bool) -> dict[str, tuple[str, str]]:
+    """form -> (chain, kind)."""
+    return {f: x[:2] for f, x in forms_and_chains(word, is_run).items()}
 
 
 def normal(token: str) -> str:

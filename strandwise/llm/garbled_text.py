@@ -7,7 +7,9 @@
    inside the words, so that a word that is rare or stands beside a name nobody
    else uses is covered by its runs.
 2. *Forms*: every distinct word and run is put through all encoding chains (see
-   `encodings`), which gives a table of garbled forms.
+   `encodings`), which gives a table of garbled forms. Forms that no word of the
+   corpus equals are dropped where they are made, by a bit table of the words,
+   whose size is fixed; what it lets through by chance goes in the join.
 3. *Join*: words of the corpus that equal a form are garbled. A `wide` form
    settles it; of two words that could each be the other's form, the one that
    stands in a quarter of the other's texts or fewer is the garbled one, and
@@ -25,14 +27,16 @@ meet the garbled words.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.encodings import ASCII_PAIR, QUESTION, REPLACED, RUN, SPACE, WORD_BREAK, chains, forms, normal, utf16_text, with_digits
+from strandwise.llm.encodings import ASCII_PAIR, QUESTION, REPLACED, RUN, SPACE, WORD_BREAK, forms_and_chains, normal, utf16_text, with_digits
 from strandwise.runtime import checkpointed, small_side
 
 #: How many times as many texts settle at once which of two interchangeable words is the clean one.
@@ -41,7 +45,10 @@ CLEAN_RATIO = 4
 LONG = 3
 #: Distinct words that a task holds before it passes them on.
 HELD_WORDS = 200_000
-FORM_TASKS = 64
+#: Distinct words and runs a task makes forms of, and the least number of tasks.
+FORM_WORDS, FORM_TASKS = 1_000, 64
+#: The bit table of corpus words has 2**22 bits, whatever the corpus.
+FILTER_BITS = 22
 
 
 def words_of(text: str) -> list[str]:
@@ -105,21 +112,33 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(words, pa.string()), pa.array(odd, pa.int64())], ["id", "word", "odd"])
 
 
-def _chains(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, source, ... -> the same for every chain between them, with `chain` and `back`."""
-    for batch in batches:
-        named = [chains(s, w) for s, w in zip(batch["source"], batch["word"], strict=True)]
-        out = batch.loc[batch.index.repeat([len(n) for n in named])].reset_index(drop=True)
-        yield out.assign(chain=[c for n in named for c, _ in n], back=[b for n in named for _, b in n])
+def _filter(units: DataFrame) -> bytes:
+    """The bit table of the words: at most `2**16` rows of 64 bits reach the driver."""
+    bit = F.crc32(F.col("word").cast("binary")).bitwiseAND((1 << FILTER_BITS) - 1)
+    slots = units.select(F.shiftright(bit, 6).alias("slot"), F.expr("shiftleft(1L, cast(crc32(cast(word as binary)) & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for slot, bits in slots.collect():
+        table[slot] = bits
+    return table.astype("<i8").tobytes()
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """word, docs, is_run -> form, word, docs, is_run, chain, kind."""
-    for batch in batches:
-        for word, docs, is_run in zip(batch["word"], batch["docs"], batch["is_run"], strict=True):
-            made = forms(word, bool(is_run))
-            if made:
-                yield pd.DataFrame({"form": list(made), "source": word, "source_docs": docs, "form_is_run": is_run, "chain": [c for c, _ in made.values()], "kind": [k for _, k in made.values()]})
+def _forms(words):
+    """word, docs, is_run -> form, word, docs, is_run, chain, kind, chains, of the forms that the bit table `words` lets through."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, mask, crc = words.value, (1 << FILTER_BITS) - 1, zlib.crc32
+        for batch in batches:
+            rows: list[tuple] = []
+            for word, docs, is_run in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for form, (chain, kind, chains) in forms_and_chains(word, is_run).items():
+                    at = crc(form.encode()) & mask
+                    if table[at >> 3] >> (at & 7) & 1:
+                        rows.append((form, word, docs, is_run, chain, kind, chains))
+            if rows:
+                *most, chains = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in most], pa.array(chains, pa.list_(pa.string()))], ["form", "source", "source_docs", "form_is_run", "chain", "kind", "chains"])
+
+    return of
 
 
 def _turned_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +181,7 @@ def _by_neighbours(texts: DataFrame, hits: DataFrame, clear: DataFrame, runs: Da
     """
     other_way = clear.select(F.col("source").alias("word"), F.col("word").alias("source"), "is_run")
     same = hits.where("kind = 'same'").join(other_way, ["word", "source", "is_run"], "left_anti")
-    named = checkpointed(same.select("word", "source", "is_run", "docs", "source_docs").mapInPandas(_chains, "word string, source string, is_run boolean, docs long, source_docs long, chain string, back string"))
+    named = checkpointed(same.select("word", "source", "is_run", "docs", "source_docs", F.explode("chains").alias("chain")).withColumn("back", F.expr("array_join(reverse(split(chain, '>')), '>')")))
     whole = named.where("not is_run")
     certain = F.when(F.char_length("run") < LONG, F.col("source_docs") > F.col("run_docs")).otherwise(F.col("source_docs") >= F.col("run_docs"))
     by_run = runs.select("word", "run").join(named.where("is_run").select(F.col("word").alias("run"), "source", F.col("docs").alias("run_docs"), "source_docs", "chain"), "run").where(certain)
@@ -211,14 +230,15 @@ def garbled_words(docs: DataFrame) -> DataFrame:
 
     runs = odd.select("word", "docs", F.explode(F.array_distinct(F.regexp_extract_all("word", F.lit("([^\\x00-\\x7f]+)"), F.lit(1)))).alias("run"))
     units = odd.select("word", "docs", F.lit(False).alias("is_run")).unionByName(runs.groupBy("run").agg(F.sum("docs").alias("docs")).select(F.col("run").alias("word"), "docs", F.lit(True).alias("is_run")))
-    # Making forms is the longest step; a fixed number keeps the few words from being put into one task.
-    units = checkpointed(units.repartition(FORM_TASKS, "word"))
-    made = units.mapInPandas(_forms, "form string, source string, source_docs long, form_is_run boolean, chain string, kind string")
-    hits = made.join(units, (F.col("form") == F.col("word")) & (F.col("form_is_run") == F.col("is_run"))).select("word", "docs", "is_run", "source", "source_docs", "chain", "kind")
+    # Making forms is the longest step; a number of its own keeps the few words from being put into one task.
+    units = checkpointed(units.repartition(max(FORM_TASKS, 2 * odd.count() // FORM_WORDS), "word"))
+    words = docs.sparkSession.sparkContext.broadcast(_filter(units))
+    made = units.mapInArrow(_forms(words), "form string, source string, source_docs long, form_is_run boolean, chain string, kind string, chains array<string>")
+    hits = made.join(units, (F.col("form") == F.col("word")) & (F.col("form_is_run") == F.col("is_run"))).select("word", "docs", "is_run", "source", "source_docs", "chain", "kind", "chains")
     hits = checkpointed(hits)
     clear = hits.where(f"kind <> 'same' or (not is_run and source_docs >= {CLEAN_RATIO} * docs)")
     won, late = _by_neighbours(docs.select("text"), hits, clear, runs)
-    hits = checkpointed(clear.unionByName(hits.where("kind = 'same' and not is_run").join(won.select("word", "source").distinct(), ["word", "source"], "left_semi")).distinct())
+    hits = checkpointed(clear.drop("chains").unionByName(hits.drop("chains").where("kind = 'same' and not is_run").join(won.select("word", "source").distinct(), ["word", "source"], "left_semi")).distinct())
 
     # Of the sources of a word, those that are not garbled themselves come first, then the surest kind, then the one in most documents.
     bad = hits.select(F.col("word").alias("source"), "is_run").distinct().withColumn("impure", F.lit(True))
