@@ -101,10 +101,16 @@ def _mention(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text -> id, word, odd: the distinct suspects of each text, and how many there are."""
+    """id, text -> id, word, odd: the distinct suspects of each text, and how many there are; copies are left out as far as a task sees them."""
+    seen: set[bytes] = set()
     for batch in batches:
         at, words, odd = [], [], []
-        for i, text in enumerate(batch.column(1).to_pylist()):
+        for i, (key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key in seen:
+                continue
+            if len(seen) >= HELD_WORDS:
+                seen.clear()
+            seen.add(key)
             own = _suspects(set(words_of(text)))
             at += [i] * len(own)
             words += own
@@ -189,13 +195,18 @@ def _by_neighbours(texts: DataFrame, hits: DataFrame, clear: DataFrame, runs: Da
     by_run = by_run.join(runs.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word").where(F.size("runs") == F.col("n")).drop("n")
     by_run = checkpointed(by_run)
 
-    asked = checkpointed(whole.select("word").unionByName(by_run.select("word")).distinct())
-    near = texts.where("octet_length(text) > char_length(text) or instr(text, '?') > 0").select(F.md5("text").alias("id"), "text").mapInArrow(_beside, "id string, word string, odd long")
-    near = checkpointed(near.join(small_side(asked), "word").distinct())
-
     is_long = F.char_length("word") >= LONG
-    held = near.join(whole.select("word", "chain").distinct(), "word").withColumn("long", is_long.cast("int"))
-    beside = held.join(held.groupBy("id", "chain").agg(F.sum("long").alias("n")), ["id", "chain"]).withColumn("others", F.col("n") - F.col("long"))
+    short = whole.where(~is_long & (F.col("source_docs") > F.col("docs"))).groupBy("word", "chain").agg(F.min("source").alias("source"))
+    # Shares are asked for long words, and for their sources, which may be short.
+    weighed = whole.where(is_long).select("word", "chain").unionByName(whole.where(~is_long).select("word", "chain").join(whole.where(is_long).select(F.col("source").alias("word")).distinct(), "word", "left_semi")).distinct()
+    weighed = checkpointed(weighed)
+    asked = checkpointed(weighed.select("word").unionByName(by_run.select("word")).unionByName(short.select("word")).unionByName(whole.where(is_long).select("word")).distinct())
+    near = texts.where("octet_length(text) > char_length(text) or instr(text, '?') > 0").select(F.unhex(F.md5("text")).alias("id"), "text").mapInArrow(_beside, "id binary, word string, odd long")
+    # Moved to its text once; what follows is counted text by text.
+    near = checkpointed(near.join(small_side(asked), "word").repartition("id").distinct())
+
+    held = near.join(small_side(weighed), "word").withColumn("long", is_long.cast("int"))
+    beside = held.withColumn("others", F.sum("long").over(Window.partitionBy("id", "chain")) - F.col("long"))
     per = checkpointed(beside.groupBy("word", "chain").agg(F.avg(F.col("others") / F.greatest(F.col("odd") - 1, F.lit(1))).alias("share"), F.avg((F.col("others") > 0).cast("int")).alias("half")))
     against = per.select(F.col("word").alias("source"), F.col("chain").alias("back"), F.col("share").alias("against"))
     won = whole.where(is_long).join(per, ["word", "chain"]).join(against, ["source", "back"], "left").where("half >= 0.5 and share > coalesce(against, 0)")
@@ -204,12 +215,14 @@ def _by_neighbours(texts: DataFrame, hits: DataFrame, clear: DataFrame, runs: Da
 
     # A pair that was settled, or won, leaves no open question for its source.
     clean = won.select(F.col("source").alias("word")).distinct()
-    short = whole.where(~is_long & (F.col("source_docs") > F.col("docs"))).groupBy("word", "chain").agg(F.min("source").alias("source"))
     late = short.unionByName(by_run.mapInPandas(_put_in, "word string, source string, chain string")).where("source is not null")
     late = late.join(won.select("word").distinct(), "word", "left_anti").join(clean, "word", "left_anti")
-    seeds = near.join(won.select("word", "chain").distinct(), "word").select("id", "chain").distinct().withColumn("seeded", F.lit(1))
-    asked_late = near.select("id", "word").join(late, "word").join(seeds, ["id", "chain"], "left")
-    late = asked_late.groupBy("word", "source", "chain").agg(F.avg(F.coalesce("seeded", F.lit(0))).alias("half")).where("half >= 0.5")
+    seeds = near.join(won.select("word", "chain").distinct(), "word").select("id", "chain").distinct()
+    late = checkpointed(late)
+    # Only texts with a seed can count for a word, and how many hold the word does not depend on the chain.
+    hold = near.join(small_side(late.select("word").distinct().transform(checkpointed)), "word")
+    seeded = hold.join(seeds, "id").groupBy("word", "chain").agg(F.count(F.lit(1)).alias("seeded"))
+    late = late.join(seeded, ["word", "chain"]).join(hold.groupBy("word").agg(F.count(F.lit(1)).alias("held")), "word").withColumn("half", F.col("seeded") / F.col("held")).where("half >= 0.5")
     first = Window.partitionBy("word").orderBy(F.desc("half"), "chain", "source")
     late = late.withColumn("no", F.row_number().over(first)).where("no = 1").select("word", "source", "chain")
     return won, checkpointed(late)
