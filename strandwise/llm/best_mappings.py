@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.functions.values import known_or_null
-from strandwise.llm.top_n import distinct_items, top_n
+from strandwise.llm.top_n import distinct_by_digest, top_n
 from strandwise.plans.tables import table
 
 BEST = 3
@@ -16,8 +16,9 @@ ORDER = [("known_nm", "asc"), ("known_len", "desc"), ("alt_id", "asc")]
 def distinct_mappings(spark: SparkSession, folder: str) -> DataFrame:
     """read_name, alt_id, nm, aln_len and the two measures with null for unknown; copies of a row are one mapping."""
     rows = table(spark, folder, "alt_map")
-    same = [c for c in rows.columns if c not in ("alt_id", "loaded_at")]
-    items = distinct_items(rows.where("read_name is not null"), same, "alt_id")
+    kept = ["read_name", "nm", "aln_len"]
+    rest = [c for c in rows.columns if c not in ("alt_id", "loaded_at", *kept)]
+    items = distinct_by_digest(rows.where("read_name is not null"), kept, rest, "alt_id")
     return items.select("read_name", "alt_id", "nm", "aln_len", known_or_null("nm").alias("known_nm"), known_or_null("aln_len").alias("known_len"))
 
 

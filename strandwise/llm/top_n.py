@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -24,6 +25,19 @@ def distinct_items(df: DataFrame, same: Sequence[str], item: str) -> DataFrame:
     return df.sparkSession.sql(f"SELECT {columns}, min(`{item}`) AS `{item}` FROM {{src}} GROUP BY {columns}", src=df)
 
 
+def distinct_by_digest(df: DataFrame, kept: Sequence[str], rest: Sequence[str], item: str) -> DataFrame:
+    """As `distinct_items` over `kept` and `rest`, but of `rest` only a digest of 128 bits is shuffled, and `kept` and `item` come out.
+
+    Two items that differ in `rest` alone are taken for one with a chance of
+    2**-128. Nulls in `rest` are part of the digest.
+    """
+    columns = [F.col(f"`{c}`") for c in rest]
+    whole = [F.array(*[c.isNull() for c in columns]), *columns] if columns else []
+    halves = {free_name(df, f"digest_{i}"): F.xxhash64(F.lit(i), *whole) for i in (1, 2)}
+    narrow = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{item}`"), *[c.alias(n) for n, c in halves.items()])
+    return distinct_items(narrow, [*kept, *halves], item).select(*[F.col(f"`{c}`") for c in [*kept, item]])
+
+
 def top_n(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, str]], n: int, rank: str = "rank_no", only_larger: bool = False) -> DataFrame:
     """The first `n` rows of each group with their `rank`, from 1.
 
