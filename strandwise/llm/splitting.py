@@ -16,13 +16,15 @@ records before the first label change of a chunk go with the chunk before.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandwise.arrowgroups import run_starts
 from strandwise.runtime import checkpointed, small_side
 
 CHUNK_BITS = 24
@@ -43,28 +45,29 @@ def merge_segments(begins: Sequence[int], overlap: Sequence[int], strength: Sequ
     reach = list(after)
     alive = [True] * n
 
-    def together(i: int) -> tuple[int, int, int, int]:
-        """Of the boundary before group i: its strength, the joined size, its place, and the end of the group for which this holds."""
-        first = left[i]
-        return strength[i], reach[i] - begins[first] + overlap[first], i, reach[i]
-
-    heap = [together(i) for i in range(1, n)]
-    heap = [x for x in heap if x[1] <= limit]
+    # A heap entry is one whole number: the strength of the boundary before group i, the joined size, its place.
+    wide = n.bit_length()
+    high = wide + (limit + 1).bit_length()
+    size_mask, place_mask = (1 << (high - wide)) - 1, (1 << wide) - 1
+    heap = [(strength[i] << high) | (size << wide) | i for i in range(1, n) if (size := reach[i] - begins[i - 1] + overlap[i - 1]) <= limit]
     heapq.heapify(heap)
     while heap:
-        power, size, i, far = heapq.heappop(heap)
-        if not alive[i] or far != reach[i] or (power, size, i, far) != together(i):
+        entry = heapq.heappop(heap)
+        i = entry & place_mask
+        first = left[i]
+        if not alive[i] or (entry >> wide) & size_mask != reach[i] - begins[first] + overlap[first]:
             continue
-        first, next_ = left[i], right[i]
+        next_ = right[i]
         alive[i] = False
-        reach[first] = reach[i]
+        end_ = reach[first] = reach[i]
         right[first] = next_
         if next_ < n:
             left[next_] = first
-            if (x := together(next_))[1] <= limit:
-                heapq.heappush(heap, x)
-        if left[first] >= 0 and (x := together(first))[1] <= limit:
-            heapq.heappush(heap, x)
+            if (size := reach[next_] - begins[first] + overlap[first]) <= limit:
+                heapq.heappush(heap, (strength[next_] << high) | (size << wide) | next_)
+        before = left[first]
+        if before >= 0 and (size := end_ - begins[before] + overlap[before]) <= limit:
+            heapq.heappush(heap, (strength[first] << high) | (size << wide) | first)
     return [i for i in range(n) if alive[i]]
 
 
@@ -86,17 +89,35 @@ def cut_oversized(begins: Sequence[int], overlap: Sequence[int], strength: Seque
 
 
 def _pieces(limit: int, n_keys: int):
-    def of(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("at")
-        end = int(group["chunk_end"].iloc[0])
-        begins, overlap, strength = cut_oversized(group["at"].tolist(), group["overlap"].tolist(), group["strength"].tolist(), end, limit)
-        heads = merge_segments(begins, overlap, strength, end, limit)
-        start = [begins[i] - overlap[i] for i in heads]
-        stop = [begins[i] for i in heads[1:]] + [end]
-        out = pd.DataFrame({"piece_start": start, "piece_end": stop, "strength": [strength[i] for i in heads]})
-        for i in range(n_keys):
-            out.insert(i, f"k{i}", [group[f"k{i}"].iloc[0]] * len(out))
-        return out
+    """keys.., chunk, at, overlap, strength, chunk_end, sorted by keys, chunk and at -> keys.., piece_start, piece_end, strength."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(whole: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            columns = [c.to_pylist() for c in whole.columns[n_keys + 1 :]]
+            row, begin, end, kind = [], [], [], []
+            for a, b in zip(starts, [*starts[1:], whole.num_rows], strict=True):
+                at, over, strong, stop = (c[a:b] for c in columns)
+                begins, overlap, strength = cut_oversized(at, over, strong, stop[0], limit)
+                heads = merge_segments(begins, overlap, strength, stop[0], limit)
+                row += [a] * len(heads)
+                begin += [begins[i] - overlap[i] for i in heads]
+                end += [*[begins[i] for i in heads[1:]], stop[0]]
+                kind += [strength[i] for i in heads]
+            take = pa.array(row, pa.int64())
+            return pa.RecordBatch.from_arrays([*[k.take(take) for k in whole.columns[:n_keys]], pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(kind, pa.int32())], [*whole.schema.names[:n_keys], "piece_start", "piece_end", "strength"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            whole = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            starts = run_starts(whole.columns[: n_keys + 1])
+            last = int(starts[-1])
+            if last:
+                yield cut(whole.slice(0, last), starts[:-1])
+            held = [whole.slice(last)]
+        if held:
+            yield cut(held[0], np.zeros(1, np.int64))
 
     return of
 
@@ -126,19 +147,19 @@ def split_items(items: DataFrame, records: DataFrame, keys: Sequence[str], start
     k = [f"k{i}" for i in range(len(keys))]
     named = [F.col(f"`{x}`").alias(y) for x, y in zip(keys, k, strict=True)]
     whole = items.select(*named, F.col(f"`{start}`").cast("long").alias("lo"), F.col(f"`{end}`").cast("long").alias("hi")).where("hi > lo")
+    whole = checkpointed(whole)
     one = whole.where(f"hi - lo <= {limit}").select(*k, F.col("lo").alias("piece_start"), F.col("hi").alias("piece_end"), F.lit("start").alias("cut"))
-    large = checkpointed(whole.where(f"hi - lo > {limit}"))
+    large = whole.where(f"hi - lo > {limit}")
 
     found = records.select(*named, F.col(f"`{at}`").cast("long").alias("at"), F.col(f"`{label}`").alias("label")).where("at is not null")
     side = small_side(large).withColumnsRenamed({x: f"r_{x}" for x in k})
     same = F.lit(True)
     for x in k:
         same &= F.col(x).eqNullSafe(F.col(f"r_{x}"))
-    inside = found.join(side, same).where("at > lo and at < hi").select(*k, "at", "label", "lo", "hi")
     # The start of an item is a boundary too, with the label of the record there, if any.
-    first = found.join(side, same).where("at = lo").groupBy(*k).agg(F.min("label").alias("label"))
-    starts = large.join(first.withColumnsRenamed({x: f"r_{x}" for x in k}), same, "left").select(*k, F.col("lo").alias("at"), "label", "lo", "hi")
-    starts_at = checkpointed(inside.groupBy(*k, "at", "lo", "hi").agg(F.min("label").alias("label")).unionByName(starts))
+    marks = found.join(side, same).where("at >= lo and at < hi").select(*k, "at", "label", "lo", "hi")
+    marks = marks.unionByName(large.select(*k, F.col("lo").alias("at"), F.lit(None).cast(marks.schema["label"].dataType).alias("label"), "lo", "hi"))
+    starts_at = checkpointed(marks.groupBy(*k, "at", "lo", "hi").agg(F.min("label").alias("label")))
 
     # A chunk's view has its records and those of the chunk before that its overlap may reach.
     cell = F.shiftright(F.col("at") - F.col("lo"), CHUNK_BITS)
@@ -168,7 +189,10 @@ def split_items(items: DataFrame, records: DataFrame, keys: Sequence[str], start
     bounds = bounds.withColumnsRenamed({x: f"r_{x}" for x in [*k, "chunk"]})
     view = view.join(bounds, same & (F.col("chunk") == F.col("r_chunk"))).select(*k, "chunk", "at", F.when(F.col("at") == F.col("lo"), 0).otherwise(F.col("at") - F.col("reach")).alias("overlap"), F.when(F.col("at") == F.col("lo"), -1).otherwise(F.col("strength")).alias("strength"), F.coalesce("next_start", "hi").alias("chunk_end"))
     schema = T.StructType([*[T.StructField(x, large.schema[x].dataType) for x in k], T.StructField("piece_start", T.LongType()), T.StructField("piece_end", T.LongType()), T.StructField("strength", T.IntegerType())])
-    pieces = view.groupBy(*k, "chunk").applyInPandas(_pieces(limit, len(k)), schema)
+    # The heap is the longest step: a number of tasks of its own keeps a few rows from being put into one.
+    tasks = int(large.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    view = view.select(*k, "chunk", "at", "overlap", F.col("strength").cast("long").alias("strength"), "chunk_end")
+    pieces = view.repartition(tasks, *k, "chunk").sortWithinPartitions(*k, "chunk", "at").mapInArrow(_pieces(limit, len(k)), schema)
     cut = F.when(F.col("strength") == CHANGE, "change").when(F.col("strength") == SAME, "same").when(F.col("strength") == INSIDE, "inside").otherwise("start")
     out = one.unionByName(pieces.select(*k, "piece_start", "piece_end", cut.alias("cut")))
     return out.select(*[F.col(x).alias(y) for x, y in zip(k, keys, strict=True)], "piece_start", "piece_end", "cut")
