@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.llm.packing import container_report, pack, plan_packing
+import strandwise.llm.packing as packing
+from strandwise.llm.packing import container_report, match_downward, pack, plan_packing
 
 
 def best_fit_decreasing(sizes, capacity):
@@ -19,21 +20,38 @@ def best_fit_decreasing(sizes, capacity):
 
 
 @pytest.mark.parametrize("seed,shape", [(1, "mixed"), (2, "small"), (3, "large"), (4, "same")])
-def test_plan(seed, shape):
+def test_plan(spark, monkeypatch, seed, shape):
+    monkeypatch.setattr(packing, "SPAN", 8)  # three sweeps a round
     rnd = random.Random(seed)
-    capacity = 100
-    draw = {"mixed": lambda: rnd.randint(1, 100), "small": lambda: rnd.randint(1, 9), "large": lambda: rnd.randint(45, 100), "same": lambda: 34}[shape]
+    capacity = 200
+    draw = {"mixed": lambda: rnd.randint(1, 200), "small": lambda: rnd.randint(1, 19), "large": lambda: rnd.randint(90, 200), "same": lambda: 67}[shape]
     sizes = [draw() for _ in range(1500)]
     counts = {s: sizes.count(s) for s in set(sizes)}
-    packing = plan_packing(counts, capacity)
+    plan, containers = plan_packing(spark.createDataFrame(list(counts.items()), "item long, n long"), capacity)
     used, seen = {}, {}
-    for size, rank, count, container in packing.runs:
+    for size, rank, count, container in plan.collect():
         for i in range(count):
             used[container + i] = used.get(container + i, 0) + size
             seen.setdefault(size, []).append(rank + i)
     assert {s: sorted(r) for s, r in seen.items()} == {s: list(range(n)) for s, n in counts.items()}
-    assert max(used.values()) <= capacity and len(used) == packing.containers
-    assert packing.containers <= best_fit_decreasing(sizes, capacity) * 1.01 + 1
+    assert max(used.values()) <= capacity and len(used) == containers
+    assert containers <= best_fit_decreasing(sizes, capacity) * 1.01 + 1
+
+
+def test_sweeps_in_ranges_match_one_sweep(spark, monkeypatch):
+    rnd = random.Random(9)
+    runs = [(kind, value, i * 1000, rnd.randint(1, 9)) for i, (kind, value) in enumerate({(rnd.randint(0, 1), rnd.randint(1, 300)) for _ in range(250)})]
+    want, left = match_downward(iter(sorted(runs, key=lambda r: (-r[1], r[0], r[2]))))
+    monkeypatch.setattr(packing, "SPAN", 4)
+    df = spark.createDataFrame([(*r, None, None) for r in runs], packing.RUNS)
+    got = [tuple(r) for r in packing._round(df, 300).collect()]
+
+    def single(rows):
+        return {(size, rank + i, container + i, rest) for size, rank, n, container, rest in rows for i in range(n)}
+
+    assert single((v, f, n, o, r) for k, v, f, n, o, r in got if k == packing.MATCH) == single(want)
+    assert sorted(r[:4] for r in got if r[0] != packing.MATCH) == sorted(left)
+    assert all(gap >= size for size, _, _, _, gap in ((s, r, n, c, s + rest) for s, r, n, c, rest in want))
 
 
 def test_every_item_once_and_no_container_over(spark):
