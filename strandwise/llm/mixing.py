@@ -22,13 +22,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.runtime import small_side
+from strandwise.runtime import checkpointed, small_side
 
 BLOCK = 4_096
 SHARD_SIZE = 1 << 24
 SHARD_ROWS = 1 << 17
-#: Quotients above and below the exact share that a shard competes with.
-REACH = 4
+#: Shards, or groups of shards, that share out the blocks of one group among them.
+FANOUT_BITS = 10
 
 
 @dataclass
@@ -107,7 +107,7 @@ def mix(df: DataFrame, id: str, source: Column, size: Column, targets: DataFrame
 
     sharded = rows.join(small_side(plan.where("blocks > 0")), "source").withColumn("draw", F.xxhash64(F.lit(seed), "id")).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), "shards"))
     held = sharded.groupBy("source", "shard", "blocks", "max_repeats", "available").agg(F.sum("n_tokens").alias("held"))
-    quotas = shard_quotas(held, block)
+    quotas = checkpointed(shard_quotas(checkpointed(held), block, max(shards, default=1)))
     sharded = sharded.join(quotas, ["source", "shard"])
     order = Window.partitionBy("source", "shard").orderBy("draw", "id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("n_tokens").over(order), F.lit(0))
@@ -123,21 +123,40 @@ def mix(df: DataFrame, id: str, source: Column, size: Column, targets: DataFrame
     return mixture, report.withColumn("actual_share", F.try_divide("actual_tokens", total))
 
 
-def shard_quotas(held: DataFrame, block: int) -> DataFrame:
+def shard_quotas(held: DataFrame, block: int, shards: int) -> DataFrame:
     """source, shard, held, quota: the blocks of a source among its shards, by highest quotients.
 
-    A shard is sure of the seats well below its exact share and never gets those
-    well above it; the few in between are ranked. Windows are over the shards of
-    a source, of which there is one in 16 million tokens.
+    `held` has source, shard (below `shards`), blocks, max_repeats, available,
+    held. Blocks go to groups of shards first, then to the shards of each group,
+    in as many steps as keep a group to 1,024 members, so no window is over more.
     """
-    exact = F.col("blocks").cast("double") * F.col("held") / F.col("available")
-    cap = F.ceil(F.col("held") * F.col("max_repeats") / F.lit(block))
-    sure = held.withColumn("cap", cap).withColumn("sure", F.greatest(F.lit(0), F.least("cap", F.floor(exact) - REACH)))
-    left = F.col("blocks") - F.sum("sure").over(Window.partitionBy("source"))
-    sure = sure.withColumn("left", left)
-    seats = sure.withColumn("seat", F.explode(F.sequence(F.col("sure"), F.col("sure") + 2 * REACH))).where("seat < cap")
-    ranked = seats.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy(F.desc(F.col("held") / (2 * F.col("seat") + 1)), "shard"))).where("rank <= left")
-    more = ranked.groupBy("source", "shard").agg(F.count(F.lit(1)).alias("more"))
-    quota = sure.join(more, ["source", "shard"], "left")
-    tokens = F.least((F.col("sure") + F.coalesce("more", F.lit(0))) * block, F.col("held") * F.col("max_repeats"))
-    return quota.select("source", "shard", "held", tokens.alias("quota"))
+    caps = held.withColumn("cap", F.ceil(F.col("held") * F.col("max_repeats") / F.lit(block)))
+    steps = 0
+    while (shards - 1) >> (FANOUT_BITS * steps):
+        steps += 1
+    node = lambda step: F.shiftright("shard", FANOUT_BITS * step)
+    seats = caps.groupBy("source").agg(F.max("blocks").alias("seats"), F.sum("held").alias("whole")).withColumn("above", F.lit(0).cast("long"))
+    for step in reversed(range(steps)):
+        members = caps.groupBy("source", node(step + 1).alias("above"), node(step).alias("node")).agg(F.sum("held").alias("own"), F.sum("cap").alias("cap"))
+        seats = _shared_out(members.join(seats, ["source", "above"])).select("source", F.col("node").alias("above"), "seats", F.col("own").alias("whole"))
+    quota = caps.join(seats.select("source", F.col("above").alias("shard"), "seats"), ["source", "shard"]) if steps else caps.join(seats.select("source", "seats"), "source")
+    return quota.select("source", "shard", "held", F.least(F.col("seats") * block, F.col("held") * F.col("max_repeats")).alias("quota"))
+
+
+def _shared_out(members: DataFrame) -> DataFrame:
+    """`members` (source, above, node, own, cap) with `seats`, their part of the `seats` of (source, above), which holds `whole`, by highest quotients.
+
+    A member is sure of the seats well below its exact share and never gets those
+    well above it; the few in between are ranked. How far from its share a
+    member can end is what the rounding of all others and the blocks that their
+    caps turn away, at most one each, can add up to.
+    """
+    group = Window.partitionBy("source", "above")
+    exact = F.col("seats").cast("double") * F.col("own") / F.col("whole")
+    reach = 4 + F.ceil(2.0 * F.count(F.lit(1)).over(group) * F.col("own") / F.col("whole"))
+    sure = members.withColumn("reach", reach).withColumn("sure", F.greatest(F.lit(0), F.least("cap", F.floor(exact) - F.col("reach"))))
+    sure = sure.withColumn("left", F.col("seats") - F.sum("sure").over(group))
+    open_ = sure.withColumn("seat", F.explode(F.sequence(F.col("sure"), F.col("sure") + 2 * F.col("reach")))).where("seat < cap")
+    ranked = open_.withColumn("rank", F.row_number().over(group.orderBy(F.desc(F.col("own") / (2 * F.col("seat") + 1)), "node"))).where("rank <= left")
+    more = ranked.groupBy("source", "above", "node").agg(F.count(F.lit(1)).alias("more"))
+    return sure.join(more, ["source", "above", "node"], "left").withColumn("seats", F.col("sure") + F.coalesce("more", F.lit(0)))

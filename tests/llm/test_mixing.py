@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import strandwise.llm.mixing as mixing
 import strandwise.llm.token_sizes as token_sizes
-from strandwise.llm.mixing import mix, sainte_lague
+from strandwise.llm.mixing import mix, sainte_lague, shard_quotas
 
 
 def one_by_one(weights, caps, seats):
@@ -32,6 +32,28 @@ def test_apportionment_is_that_of_one_seat_at_a_time():
         assert sainte_lague(weights, caps, seats) == one_by_one(weights, caps, seats)
 
 
+def test_shards_get_what_one_seat_at_a_time_gives(spark, monkeypatch):
+    """Also where a shard is far larger than the others, caps bind, and shards are shared out in several steps."""
+    rnd = random.Random(7)
+    rows, want = [], {}
+    for name, sizes, repeats, part in (("even", [rnd.randint(90, 110) for _ in range(40)], 9, 2.5), ("giant", [5] * 60 + [9000], 9, 1.7), ("full", [rnd.randint(1, 50) for _ in range(33)], 2, 2.0)):
+        blocks = min(int(sum(sizes) * part / 8), sum(sizes) * repeats // 8)
+        rows += [(name, i, blocks, repeats, sum(sizes), n) for i, n in enumerate(sizes)]
+        want[name] = blocks, sizes, repeats
+    held = spark.createDataFrame(rows, "source string, shard long, blocks long, max_repeats long, available long, held long")
+    flat = {(r.source, r.shard): r.quota for r in shard_quotas(held, 8, 61).collect()}
+    for name, (blocks, sizes, repeats) in want.items():
+        caps = [-(-n * repeats // 8) for n in sizes]
+        seats = one_by_one([Fraction(n) for n in sizes], caps, blocks)
+        assert [flat[name, i] for i in range(len(sizes))] == [min(s * 8, n * repeats) for s, n in zip(seats, sizes, strict=True)], name
+    monkeypatch.setattr(mixing, "FANOUT_BITS", 2)
+    steps = shard_quotas(held, 8, 61).collect()
+    for name, (blocks, sizes, repeats) in want.items():
+        own = {r.shard: r.quota for r in steps if r.source == name}
+        assert len(own) == len(sizes) and all(own[i] <= n * repeats for i, n in enumerate(sizes))
+        assert blocks * 8 - 8 * len(sizes) <= sum(own.values()) <= blocks * 8
+
+
 def test_shares_repeats_and_report(spark, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_SIZE", 5_000)
     rnd = random.Random(2)
