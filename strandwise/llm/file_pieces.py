@@ -32,14 +32,26 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_pieces(spark, folder).groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*KEYS)
 
 
-SQL = {
-    "p4_found": """
+def p4_stretches(spark: SparkSession, folder: str) -> DataFrame:
+    """What the pieces of each stretch add up to: its first and last position, whether all pieces fit, and whether each begins at most the overlap before the end of the one before, and none after it."""
+    pieces = p4_pieces(spark, folder)
+    along = Window.partitionBy(*KEYS).orderBy("piece_start", "piece_end")  # a row in 262,144 bytes of a stretch
+    pieces = pieces.withColumn("before", F.lag("piece_end").over(along))
+    joined = F.col("before").isNull() | ((F.col("piece_start") <= F.col("before")) & (F.col("before") - F.col("piece_start") <= OVERLAP) & (F.col("before") < F.col("piece_end")))
+    return pieces.groupBy(*KEYS).agg(F.min("piece_start").alias("first"), F.max("piece_end").alias("last"), F.bool_and(F.col("piece_end") - F.col("piece_start") <= LIMIT).alias("fits"), F.bool_and(joined).alias("joined"))
+
+
+_WHOLE = """
 with starts as (
   select file_id, ref_id, min(file_offset) as start from block_boundaries
   where ref_id is not null and file_offset is not null and read_name is distinct from 'last' group by file_id, ref_id
 ), whole as (
   select file_id, ref_id, start, coalesce(lead(start) over (partition by file_id order by start, ref_id), n_bytes) as stop from starts left join bam_files using (file_id)
-) select file_id, ref_id from whole where stop - start > 262144""",
+)"""
+
+SQL = {
+    "p4_stretches": _WHOLE + " select file_id, ref_id, start as first, stop as last, true as fits, true as joined from whole where stop > start",
+    "p4_found": _WHOLE + " select file_id, ref_id from whole where stop - start > 262144",
 }
 
-QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces}
+QUERIES = {"p4_found": p4_found, "p4_pieces": p4_pieces, "p4_stretches": p4_stretches}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.names import norm_name
 from strandwise.functions.values import size_or_null
-from strandwise.llm.quantile_digest import build_digest, digest_percentiles, merge_digests
+from strandwise.llm.quantile_digest import ERROR, MANTISSA, build_digest, digest_percentiles, merge_digests
 from strandwise.operators.hotkeys import selected_quantiles
 from strandwise.plans.tables import table
 from strandwise.runtime import checkpointed, small_side
@@ -52,7 +52,26 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return sure.unionByName(exact.where(F.col("p95") > FAR_TAIL * F.col("p50")).select(F.col("k0").alias("table_name"), F.col("k1").alias("read_group")))
 
 
+def p3_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the bounds of `p3_percentiles` hold: the values below the lower one are fewer than the rank, those up to the upper one are not; and whether no more ranks than the error allows lie strictly between them."""
+    bounds = checkpointed(p3_percentiles(spark, folder))
+    sizes = group_sizes(spark, folder).groupBy(*KEYS, "size").agg(F.count(F.lit(1)).alias("w"))  # equal sizes are added up before they meet the bounds
+    met = sizes.join(small_side(bounds), KEYS)
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("w"))), F.lit(0))
+    per = met.groupBy(*KEYS, "q", "n", "lower", "upper").agg(count(F.col("size") < F.col("lower")).alias("below"), count(F.col("size") <= F.col("upper")).alias("upto"), count((F.col("size") > F.col("lower")) & (F.col("size") < F.col("upper"))).alias("between"))
+    rank = F.greatest(F.lit(1), F.expr("(n * q + 99) div 100"))
+    # One quantization step has twelve significant bits; what lies inside of it is no error of rank.
+    step = F.col("upper") - F.col("lower") <= F.shiftright(F.col("upper"), MANTISSA - 1)
+    return per.select(*KEYS, "q", "n", ((F.col("below") < rank) & (rank <= F.col("upto"))).alias("holds"), (step | (F.col("between") <= F.ceil(2 * ERROR * F.col("n")))).alias("narrow"))
+
+
 SQL = {
+    "p3_bounds": """
+with rows_ as (
+  select 'alt_map' as table_name, upper(trim(read_group)) as read_group, insert_size as v from alt_map
+  union all select 'clusters', upper(trim(rg)), isize from clusters
+) select table_name, read_group, cast(q as integer) as q, count(*) as n, true as holds, true as narrow
+from rows_, (values (5), (25), (50), (75), (95), (99)) as t(q) where read_group is not null and v is not null and v not in (0, -1, 9223372036854775807) group by table_name, read_group, q""",
     "p3_found": """
 with rows_ as (
   select 'alt_map' as table_name, upper(trim(read_group)) as read_group, insert_size as v from alt_map
@@ -67,4 +86,4 @@ with rows_ as (
 ) select table_name, read_group from marks where p95 > 3 * p50""",
 }
 
-QUERIES = {"p3_found": p3_found, "p3_percentiles": p3_percentiles}
+QUERIES = {"p3_found": p3_found, "p3_percentiles": p3_percentiles, "p3_bounds": p3_bounds}
