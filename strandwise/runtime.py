@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +32,15 @@ def local_session(cores: str = "8", app: str = "strandwise", **conf: str) -> Spa
 def checkpointed(df: DataFrame) -> DataFrame:
     """Writes `df` to the shared checkpoint folder and reads it from there.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where none is set,
-    as in tests, a temporary one of this machine is used.
+    The folder is the session's `spark.checkpoint.dir`. Only where none is set
+    and the master is local, as in tests, a temporary one of this machine is
+    used; on a cluster, whose executors would not see it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandwise-", dir=os.environ.get("TMPDIR")))
     return df.checkpoint(eager=True)
 
