@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -85,3 +85,46 @@ def assign_clusters(df: DataFrame, stats: DataFrame, k: float, reach: float) ->
 
     wanted = rows.select("chrom", "cluster_start", "id", "name", "pos", "strand", "mate_chrom", "mate_pos", "mate_strand", F.coalesce("isize", F.lit(0)).alias("isize"), "upper", "median", F.coalesce("sd", F.lit(0.0)).alias("sd"))
     return wanted.repartition("chrom", "cluster_start").sortWithinPartitions("chrom", "cluster_start", "pos", "id").mapInPandas(scan, schema)
+
+
+def fold_range(acc: tuple[int, int], x: tuple[int, int]) -> tuple[int, int]:
+    """The intersection of both; `x` where nothing constrains it yet, (0, 0) where they are disjoint, which begins anew."""
+    if acc in ((0, 0), (-1, -1)):
+        return x
+    low, high = max(acc[0], x[0]), min(acc[1], x[1])
+    return (low, high) if low <= high else (0, 0)
+
+
+def fold_ranges(df: DataFrame, key: str, order: Sequence[str], ranges: Sequence[tuple[str, str]]) -> DataFrame:
+    """`key`, the folds of each of the `ranges` in `order`, and `n`, how many rows went in.
+
+    The fold depends on the order, so the rows of a key are read one after the
+    other, of which no more than the folds are held. Rows with a null bound do
+    not count; a null key is a key.
+    """
+    bounds = [c for r in ranges for c in r]
+    schema = T.StructType([df.schema[key], *[T.StructField(c, T.LongType()) for c in bounds], T.StructField("n", T.LongType())])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, folds, n, started = None, [], 0, False
+
+        def row() -> tuple:
+            return (at, *[v for f in folds for v in f], n)
+
+        for batch in batches:
+            out = []
+            names = batch[key].astype(object).where(batch[key].notna(), None).tolist()
+            for name, *values in zip(names, *[batch[c].tolist() for c in bounds], strict=True):
+                if not started or name != at:
+                    if started:
+                        out.append(row())
+                    at, folds, n, started = name, [(0, 0)] * len(ranges), 0, True
+                folds = [fold_range(f, (values[2 * i], values[2 * i + 1])) for i, f in enumerate(folds)]
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=schema.names)
+        if started:
+            yield pd.DataFrame([row()], columns=schema.names)
+
+    whole = df.dropna(subset=bounds)
+    return whole.repartition(key).sortWithinPartitions(key, *order).mapInPandas(scan, schema)

@@ -136,12 +136,12 @@ def single_event() -> Column:
       when t = 3 then named_struct('event', 'tandem_dup', 'start', s1, 'end', m2, 'size', m1 - s1) end""")
 
 
-def mechanism(event: str, homology: str, element: str, simple: str) -> str:
-    """SQL: the mechanism of an event, first that fits."""
+def mechanism(event: str, homology: str, inserted: str, element: str, inserted_element: str, simple: str, inserted_simple: str) -> str:
+    """SQL: the mechanism of an event, first that fits, by what is deleted and, for composite events, what is inserted."""
     return f"""case
       when {event} = 'del' then case when {element} is not null then 'TEI' when {simple} then 'VNTR' when {homology} > 100 then 'NAHR' when {homology} >= 2 then 'alt-EJ' else 'NHEJ' end
-      when {event} in ('del_inssd', 'del_inssu', 'del_insod', 'del_insou') then case when {element} is not null then 'TEI' when {simple} then 'VNTR' when {homology} <= 10 then 'NHEJ' else 'FoSTeS' end
-      when {event} in ('inssd', 'inssu', 'insod', 'insou') then case when {element} is not null then 'TEI' when {simple} then 'VNTR' else 'NA' end
+      when {event} in ('del_inssd', 'del_inssu', 'del_insod', 'del_insou') then case when {element} is not null and {inserted_element} is not null then 'TEA' when {inserted_element} is not null then 'TEI' when {simple} and {inserted_simple} then 'VNTR' when {inserted} <= 10 then 'NHEJ' else 'NA' end
+      when {event} in ('inssd', 'inssu', 'insod', 'insou') then case when {inserted_element} is not null then 'TEI' when {inserted_simple} then 'VNTR' else 'NA' end
       when {event} = 'del_invers' then 'FoSTeS'
       when {event} = 'tandem_dup' then case when {simple} then 'VNTR' else 'NA' end
       else 'NA' end"""

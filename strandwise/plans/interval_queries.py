@@ -74,24 +74,6 @@ def j11_first_gene(spark: SparkSession, folder: str) -> DataFrame:
     return first.select("chrom", "pos", F.coalesce("gene", F.lit("-")).alias("gene"))
 
 
-def j12_copy_number(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments by the repeats that hold one of their ends; those with more than 3 go."""
-    g = _segments(spark, folder)
-    ends = g.select(F.struct("gchrom", "gs", "ge", "gname", "gtype").alias("sv"), F.explode(F.array("gs", "ge")).alias("p"), "gchrom")
-    hits = overlap_join(ends, repeats(spark, folder).where("rname is not null"), [("gchrom", "chrom")], ("p", "p"), ("s", "e")).where("not (sv.gs = s and sv.ge = e)").select("sv", "rname", "s", "e").distinct()
-    few = hits.groupBy("sv").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("rname")), "/").alias("names")).where("n <= 3")
-    return few.select("sv.gname", "sv.gchrom", "sv.gs", "sv.ge", "sv.gtype", "n", F.concat_ws("<=>", "names", "sv.gname").alias("pair"))
-
-
-def j13_cohort(spark: SparkSession, folder: str) -> DataFrame:
-    """Segments of the plus strand against those of the minus strand within 10 positions: S (shared) of an equal type, else D; every one is kept."""
-    both = spark.read.parquet(f"{folder}/genes.parquet").where("s >= 1 and e >= 1")
-    side = lambda sign, p: both.where(F.col("strand") == sign).select(norm_contig("chrom").alias(f"{p}chrom"), F.least("s", "e").alias(f"{p}s"), F.greatest("s", "e").alias(f"{p}e"), norm_name("gene_name").alias(f"{p}name"), F.coalesce("gene_type", F.lit("NA")).alias(f"{p}type")).distinct()
-    left = side("+", "l").where("lchrom is not null").withColumns({"id": F.struct("lchrom", "ls", "le", "lname", "ltype"), "a": F.col("ls") - 10, "b": F.col("le") + 10})
-    out = exists_overlap(left, side("-", "r"), "id", [("lchrom", "rchrom"), ("ltype", "rtype")], ("a", "b"), ("rs", "re"))
-    return out.select("lchrom", "ls", "le", "lname", "ltype", F.when(F.col("hit"), "S").otherwise("D").alias("label"))
-
-
 def j14_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """For each cluster member the record within 100 positions on chromosome and strand that is nearest at both ends together; of equal ones the first."""
     left = members(spark, folder).where("chrom is not null and pos is not null and mate_pos is not null").select(F.col("chrom").alias("c"), F.col("strand").alias("st"), F.col("pos").alias("p"), F.col("mate_pos").alias("mp")).distinct()
@@ -159,18 +141,6 @@ def j19_breakpoint_kind(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("chrom", "pos", "mate_chrom", "mate_pos", F.concat(F.lit("BP:"), part(1), F.lit("_"), part(2)).alias("kind"))
 
 
-def j9_two_rankings(spark: SparkSession, folder: str) -> DataFrame:
-    """For each cluster the nearest 4 others by start and the nearest 4 by mate start on the same two chromosomes, within 1,000,000; the first in both rankings."""
-    a = _summaries(spark, folder).where("chrom <> mate_chrom")
-    b = a.select(F.col("cluster_id").alias("other"), F.col("chrom").alias("oc"), F.col("mate_chrom").alias("omc"), F.col("s1").alias("o1"), F.col("m1").alias("om1"))
-    wide = a.withColumns({"lo": F.col("s1") - 1_000_000, "hi": F.col("s1") + 1_000_000})
-    hits = overlap_join(wide, b, [("chrom", "oc"), ("mate_chrom", "omc")], ("lo", "hi"), ("o1", "o1")).where("cluster_id <> other")
-    ds, dm = F.abs(F.col("s1") - F.col("o1")), F.abs(F.col("m1") - F.col("om1"))
-    per = lambda d: Window.partitionBy("cluster_id", "chrom", "mate_chrom").orderBy(d, "other")
-    ranked = hits.withColumns({"r1": F.row_number().over(per(ds)), "r2": F.row_number().over(per(dm))}).where("r1 <= 4 and r2 <= 4")
-    best = ranked.groupBy("cluster_id", "chrom", "mate_chrom").agg(F.min(F.struct("r1", "r2", "other")).alias("b"))
-    return best.select("cluster_id", "chrom", "mate_chrom", F.col("b.other").alias("partner"), F.col("b.r1").alias("r1"), F.col("b.r2").alias("r2"))
-
 
 _GR = f"with {REPEATS_SQL}, {_G2}"
 _KEY = "gchrom, gs, ge, gname, gtype"
@@ -185,12 +155,6 @@ select cluster_id, chrom, a, b, case when exists (select 1 from reps r where r.r
     "j11_first_gene": f"""with {MEMBERS_SQL}, {GENES_SQL}, {_G}, m as (select distinct chrom, pos from members where chrom is not null and pos is not null)
 , x as (select m.chrom, m.pos, gname || '_' || gtype as gene, row_number() over (partition by m.chrom, m.pos order by gs, ge, gname, gtype) as r from m left join g on g.gchrom = m.chrom and g.gs <= m.pos + 2 and g.ge >= m.pos - 2)
 select chrom, pos, coalesce(gene, '-') as gene from x where r = 1""",
-    "j12_copy_number": f"""{_GR}, h as (select distinct {_KEY}, rname, s, e from g join reps r on r.rname is not null and not (g.gs = r.s and g.ge = r.e) and g.gchrom = r.chrom and ((r.s <= g.gs and g.gs <= r.e) or (r.s <= g.ge and g.ge <= r.e)))
-, n as (select {_KEY}, count(*) as n, array_to_string(list_sort(list(distinct rname)), '/') as names from h group by {_KEY})
-select {_KEY}, n, names || '<=>' || gname as pair from n where n <= 3""",
-    "j13_cohort": """with x as (select strand, regexp_replace(trim(chrom), '^[cC][hH][rR]', '') as c, least(s, e) as s, greatest(s, e) as e, upper(trim(gene_name)) as n, coalesce(gene_type, 'NA') as t from genes where s >= 1 and e >= 1)
-, l as (select distinct c, s, e, n, t from x where strand = '+' and c is not null)
-select c as lchrom, s as ls, e as le, n as lname, t as ltype, case when exists (select 1 from x r where r.strand = '-' and r.c = l.c and r.t = l.t and r.s <= l.e + 10 and r.e >= l.s - 10) then 'S' else 'D' end as label from l""",
     "j14_nearest": f"""with {MEMBERS_SQL}, {PAIRS_SQL}, m as (select distinct chrom as c, strand as st, pos as p, mate_pos as mp from members where chrom is not null and pos is not null and mate_pos is not null)
 , x as (select c, st, p, mp, q.id, abs(q.pos - p) + abs(q.mate_pos - mp) as distance from m left join pairs q on q.mate_pos is not null and q.chrom = c and q.strand = st and q.pos between p - 100 and p + 100)
 , y as (select *, row_number() over (partition by c, st, p, mp order by distance, id) as r from x)
@@ -207,10 +171,6 @@ select {_KEY}, coalesce(first, 'complex') as element from f where first is not n
 , sr as (select * from reps where rclass in ('SIMPLE_REPEAT', 'SATELLITE', 'LOW_COMPLEXITY')), te as (select * from reps where rclass in ('LINE', 'SINE', 'LTR', 'DNA'))
 select *, 'BP:' || case when exists (select 1 from sr where sr.chrom = m.chrom and m.pos between sr.s and sr.e) then 'SR' when exists (select 1 from te where te.chrom = m.chrom and m.pos between te.s and te.e) then 'TE' else '' end
   || '_' || case when exists (select 1 from sr where sr.chrom = m.mate_chrom and m.mate_pos between sr.s and sr.e) then 'SR' when exists (select 1 from te where te.chrom = m.mate_chrom and m.mate_pos between te.s and te.e) then 'TE' else '' end as kind from m""",
-    "j9_two_rankings": f"""with {MEMBERS_SQL}, {_SUMMARIES}, x as (select a.cluster_id, a.chrom, a.mate_chrom, b.cluster_id as other, abs(a.s1 - b.s1) as ds, abs(a.m1 - b.m1) as dm from sums a join sums b on a.chrom <> a.mate_chrom and a.chrom = b.chrom and a.mate_chrom = b.mate_chrom and a.cluster_id <> b.cluster_id and b.s1 between a.s1 - 1000000 and a.s1 + 1000000)
-, r as (select *, row_number() over (partition by cluster_id, chrom, mate_chrom order by ds, other) as r1, row_number() over (partition by cluster_id, chrom, mate_chrom order by dm, other) as r2 from x)
-, y as (select *, row_number() over (partition by cluster_id, chrom, mate_chrom order by r1, r2) as k from r where r1 <= 4 and r2 <= 4)
-select cluster_id, chrom, mate_chrom, other as partner, cast(r1 as integer) as r1, cast(r2 as integer) as r2 from y where k = 1""",
 }
 
-QUERIES = {f.__name__: f for f in (j5_overlap, j6_point, s8_region_scan, j9_two_rankings, j10_near_repeat, j11_first_gene, j12_copy_number, j13_cohort, j14_nearest, j15_one_end, j16_both_ends, j17_element, j18_simple_repeat, j19_breakpoint_kind)}
+QUERIES = {f.__name__: f for f in (j5_overlap, j6_point, s8_region_scan, j10_near_repeat, j11_first_gene, j14_nearest, j15_one_end, j16_both_ends, j17_element, j18_simple_repeat, j19_breakpoint_kind)}

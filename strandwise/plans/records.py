@@ -83,11 +83,15 @@ GENES_SQL = """gene_spans as (
 )"""
 
 
-def group_stats(rows: DataFrame) -> DataFrame:
-    """Median and sample standard deviation of the absolute insert sizes of each read group, as a stat table of as many rows as there are read groups."""
-    return rows.where("isize is not null and rg is not null and abs(isize) <= 10000").groupBy("rg").agg(F.percentile(F.abs("isize"), 0.5).alias("median"), F.stddev_samp(F.abs("isize")).alias("sd"), F.count(F.lit(1)).alias("n"))
+#: The largest insert size that statistics take in, as a library's fragments are not longer.
+MAX_ISIZE = 10_000
 
 
-STATS_SQL = """stats as (
-  select rg, quantile_cont(abs(isize), 0.5) as median, stddev_samp(abs(isize)) as sd, count(*) as n from pairs where isize is not null and rg is not null and abs(isize) <= 10000 group by rg
+def group_stats(rows: DataFrame, most: int = MAX_ISIZE) -> DataFrame:
+    """Median and sample standard deviation of the absolute insert sizes of each read group, as a stat table of as many rows as there are read groups. Sizes above `most` do not count."""
+    return rows.where(f"isize is not null and rg is not null and abs(isize) <= {most}").groupBy("rg").agg(F.percentile(F.abs("isize"), 0.5).alias("median"), F.stddev_samp(F.abs("isize")).alias("sd"), F.count(F.lit(1)).alias("n"))
+
+
+STATS_SQL = f"""stats as (
+  select rg, quantile_cont(abs(isize), 0.5) as median, stddev_samp(abs(isize)) as sd, count(*) as n from pairs where isize is not null and rg is not null and abs(isize) <= {MAX_ISIZE} group by rg
 )"""
