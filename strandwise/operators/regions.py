@@ -19,7 +19,7 @@ def first_of(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("__no", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__no = 1").drop("__no")
 
 
-def merge_regions(regions: DataFrame, most_rounds: int = 30) -> DataFrame:
+def merge_regions(regions: DataFrame) -> DataFrame:
     """Regions (id, chrom, mate_chrom, a1, a2, b1, b2) of which both halves overlap become one, until none do.
 
     Out: the same columns for the union, with the least id, and `ids`, how many
@@ -29,7 +29,7 @@ def merge_regions(regions: DataFrame, most_rounds: int = 30) -> DataFrame:
     """
     cols = ["chrom", "mate_chrom", "a1", "a2", "b1", "b2"]
     now = checkpointed(regions.where("a1 <= a2 and b1 <= b2").groupBy(*cols).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("ids")))
-    for _ in range(most_rounds):
+    while True:  # every round has fewer regions than the one before
         other = now.select(*[F.col(c).alias(f"o_{c}") for c in ["id", *cols]])
         hits = overlap_join(now, other, [("chrom", "o_chrom"), ("mate_chrom", "o_mate_chrom")], ("a1", "a2"), ("o_a1", "o_a2")).where("id < o_id and b1 <= o_b2 and o_b1 <= b2")
         # Each region is linked to the least one that it meets; that keeps the links of a pile-up as few as its regions, and the next round goes on.
@@ -41,7 +41,6 @@ def merge_regions(regions: DataFrame, most_rounds: int = 30) -> DataFrame:
         joined = now.join(group, F.col("id") == F.col("g_id"), "left").withColumn("component", F.coalesce("component", "id"))
         hull = joined.groupBy("component", "chrom", "mate_chrom").agg(F.min("a1").alias("a1"), F.max("a2").alias("a2"), F.min("b1").alias("b1"), F.max("b2").alias("b2"), F.sum("ids").alias("ids"))
         now = checkpointed(hull.withColumnRenamed("component", "id"))
-    raise RuntimeError(f"regions did not settle in {most_rounds} rounds")
 
 
 def is_orphan(poly: Column, left_ref: Column, right_ref: Column, left_repeat: Column, right_repeat: Column) -> Column:

@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 from strandwise.runtime import checkpointed
 
 
-def components(links: DataFrame, left: str, right: str, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """`left`, `component`: the least left id that is reachable through shared right ids. Null ends link nothing."""
     edges = checkpointed(links.where(F.col(left).isNotNull()).select(F.col(left).alias("l"), F.col(right).alias("r")).distinct())
     labels = checkpointed(edges.select("l").distinct().withColumn("c", F.col("l")))
-    for _ in range(most_rounds):
+    while True:  # labels only fall, and pointer jumping halves what is left of a chain
         by_right = edges.where("r is not null").join(labels, "l").groupBy("r").agg(F.min("c").alias("c"))
         seen = edges.join(by_right, "r").groupBy("l").agg(F.min("c").alias("n"))
         stepped = labels.join(seen, "l", "left").select("l", "c", F.least("c", F.coalesce("n", "c")).alias("n"))
@@ -34,7 +34,6 @@ def components(links: DataFrame, left: str, right: str, most_rounds: int = 60) -
         labels = after.select("l", F.col("n").alias("c"))
         if not moved:
             return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
 def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: str, mate_chrom: str, size: str, mismatches: str, most_rounds: int = 500) -> DataFrame:

@@ -54,10 +54,10 @@ def _blacklist(rows: DataFrame) -> DataFrame:
 def f4_discordant(spark: SparkSession, folder: str) -> DataFrame:
     """Discordant by reason or by name, no mate on the blacklist, of a read group with statistics."""
     rows = _reasoned(spark, folder)
-    memo = rows.where(F.col("reason").isin("other_chromosome", "same_strand") & (F.col("nm") >= 3)).select("name").distinct()
-    by_name = rows.join(memo, "name", "left_semi").select("id")
-    chosen = rows.where(F.col("reason").isin(*DISCORDANT)).select("id").unionByName(by_name).distinct()
-    kept = rows.where("median is not null").join(chosen, "id", "left_semi")
+    memo = rows.where(F.col("reason").isin("other_chromosome", "same_strand") & (F.col("nm") >= 3) & F.col("name").isNotNull()).select("name").distinct()
+    # Only records that the reason alone leaves open are looked up by name.
+    known, by_reason = rows.where("median is not null"), F.col("reason").isin(*DISCORDANT)
+    kept = known.where(by_reason).unionByName(known.where(~by_reason).join(memo, "name", "left_semi").select(*known.columns))
     return blacklist_anti(kept, _blacklist(pairs(spark, folder)), "chrom", "pos", "mate_chrom", "mate_pos").select("id", "name", "chrom", "pos", "reason")
 
 
@@ -77,7 +77,7 @@ def f15_point_blacklist(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def f16_not_concordant(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs left after the concordant ones go, with the size that their orientation gives."""
+    """Pairs left after the concordant ones go, with the size that their orientation gives."""
     rows = pairs(spark, folder)
     bounds = group_stats(rows).select("rg", F.ceil(F.col("median") + N_SD * F.col("sd")).alias("upper"))
     rows = rows.join(bounds, "rg")
@@ -112,16 +112,20 @@ def a2_characters(spark: SparkSession, folder: str) -> DataFrame:
     return chars.groupBy(F.ascii("c").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
-# Quality encodings and the codes that they use.
+# Quality encodings and the codes that they use; the second table is that of the insertion pipeline, where all end at 126.
 ENCODINGS = (("sanger", 33, 73), ("solexa", 59, 104), ("illumina13", 64, 104), ("illumina15", 66, 104))
+WIDE_ENCODINGS = (("sanger", 33, 126), ("solexa", 59, 126), ("illumina13", 64, 126), ("illumina15", 66, 126))
 
 
 def a3_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    """A3: of the encodings whose range holds all codes, the one whose ends are nearest; of equal ones the first. Codes are (mismatches + 64) here."""
-    seen = pairs(spark, folder).where("nm between 0 and 38").groupBy("rg").agg((F.min("nm") + 66).alias("low"), (F.max("nm") + 66).alias("high"))
-    dim = spark.createDataFrame([(i, *e) for i, e in enumerate(ENCODINGS)], "ord int, encoding string, a int, b int")
-    hold = seen.join(F.broadcast(dim), (F.col("a") <= F.col("low")) & (F.col("high") <= F.col("b")))  # four rows
-    return hold.groupBy("rg").agg(F.min_by("encoding", F.struct(F.abs(F.col("low") - F.col("a")) + F.abs(F.col("b") - F.col("high")), F.col("ord"))).alias("encoding"))
+    """A3: of the encodings whose range holds all codes, the one whose ends are nearest; of equal ones, and if none holds them, the first; by both tables of ranges. The codes of a read group and length are its lengths and mismatches, moved into the range of characters."""
+    codes = pairs(spark, folder).where("rg is not null and nm is not null and len > 0").select("rg", F.expr("len div 10").alias("tens"), (F.col("nm") + 33 + F.expr("len div 10") * 3).alias("code"))
+    seen = codes.groupBy("rg", "tens").agg(F.min("code").alias("low"), F.max("code").alias("high"))
+    out = seen
+    for name, table in (("encoding", ENCODINGS), ("wide", WIDE_ENCODINGS)):
+        fits = F.array(*[F.when((F.col("low") >= a) & (F.col("high") <= b), F.struct((F.abs(F.col("low") - a) + F.abs(F.col("high") - b)).alias("d"), F.lit(i).alias("ord"), F.lit(e).alias("e"))) for i, (e, a, b) in enumerate(table)])
+        out = out.withColumn(name, F.coalesce(F.array_min(F.filter(fits, lambda x: x.isNotNull())).getField("e"), F.lit(table[0][0])))
+    return out
 
 
 def a4_insert_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,7 +157,7 @@ def w3_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def w4_best_of_same(spark: SparkSession, folder: str) -> DataFrame:
-    """Of records at one signed position the one with fewest mismatches, then the longest, then the first."""
+    """Of records at one signed position the one with fewest mismatches, then the longest, then the first."""
     rows = pairs(spark, folder).where("chrom is not null and pos is not null")
     best = F.min_by("id", F.struct(F.col("nm").isNull(), "nm", -F.coalesce("len", F.lit(-1)), "id"))
     return rows.groupBy("chrom", (F.col("pos") * F.col("strand")).alias("signed")).agg(best.alias("id"))
@@ -209,9 +213,9 @@ from o where not coalesce(chrom = mate_chrom and strand = 1 and mate_strand = -1
     "a2_characters": "select ascii(c) as code, count(*) as n from (select unnest(string_split(read_name, '')) as c from alt_map where read_name is not null) where c <> '' group by 1",
     "a3_encoding": "with "
     + PAIRS_SQL
-    + """, seen as (select rg, min(nm) + 66 as low, max(nm) + 66 as high from pairs where nm between 0 and 38 group by rg)
-, dim(ord, encoding, a, b) as (values (0, 'sanger', 33, 73), (1, 'solexa', 59, 104), (2, 'illumina13', 64, 104), (3, 'illumina15', 66, 104))
-select rg, encoding from (select rg, encoding, row_number() over (partition by rg order by abs(low - a) + abs(b - high), ord) as r from seen join dim on a <= low and high <= b) where r = 1""",
+    + """, seen as (select rg, len // 10 as tens, min(nm + 33 + len // 10 * 3) as low, max(nm + 33 + len // 10 * 3) as high from pairs where rg is not null and nm is not null and len > 0 group by all)
+, dim(ord, name, a, b, c) as (values (0, 'sanger', 33, 73, 126), (1, 'solexa', 59, 104, 126), (2, 'illumina13', 64, 104, 126), (3, 'illumina15', 66, 104, 126))
+select rg, tens, low, high, coalesce((select name from dim where a <= low and high <= b order by abs(low - a) + abs(b - high), ord limit 1), 'sanger') as encoding, coalesce((select name from dim where a <= low and high <= c order by abs(low - a) + abs(c - high), ord limit 1), 'sanger') as wide from seen""",
     "a4_insert_stats": "with "
     + PAIRS_SQL
     + """, f as (select *, row_number() over (partition by rg order by id) as no from pairs where isize > 0 and isize <= 10000 and rg is not null)

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.functions.names import norm_contig, norm_name
 from strandwise.operators.intervals import exists_overlap, first_overlap, nearest, overlap_join, point_join
 from strandwise.plans.records import GENES_SQL, MEMBERS_SQL, PAIRS_SQL, REPEATS_SQL, gene_spans, members, pairs, repeats
 
 MARGIN = 500
 JITTER = 2
 NEAR = 100
-WIDE = 100_000
 RATIO = 0.8
 LARGEST_ELEMENT = 100_000
 
 
 def _genes(spark: SparkSession, folder: str) -> DataFrame:
     """One row a distinct annotated segment, so that its columns identify it."""
-    return gene_spans(spark, folder).where("gchrom is not null and gname is not null").distinct()
+    return gene_spans(spark, folder).drop("gstrand").where("gchrom is not null and gname is not null").distinct()
 
 
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,7 +28,7 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
 #: A segment meets the other segments, not its like.
 OTHER = "not (gs = s and ge = e)"
 _G2 = "g as (select distinct chrom as gchrom, s as gs, e as ge, rname as gname, coalesce(rclass, 'NA') as gtype from reps where chrom is not null and rname is not null)"
-_G = "g as (select distinct * from gene_spans where gchrom is not null and gname is not null)"
+_G = "g as (select distinct * exclude (gstrand) from gene_spans where gchrom is not null and gname is not null)"
 
 
 def j5_overlap(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,15 +52,15 @@ def s8_region_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j10_near_repeat(spark: SparkSession, folder: str) -> DataFrame:
-    """Whether a repeat of a known class lies within 500 positions of either end of a member (0: it does)."""
-    rows = members(spark, folder).where("chrom is not null and pos is not null and mate_pos is not null and chrom = mate_chrom")
-    rows = rows.select("cluster_id", "chrom", F.least("pos", "mate_pos").alias("a"), F.greatest("pos", "mate_pos").alias("b")).distinct()
-    rows = rows.withColumn("id", F.struct("cluster_id", "chrom", "a", "b"))
+    """Whether a repeat of the member's own kind, bound to its mismatches, lies within 500 positions of either end (0: it does)."""
+    rows = members(spark, folder).where("chrom is not null and pos is not null and mate_pos is not null and chrom = mate_chrom and nm is not null")
+    rows = rows.select("cluster_id", "chrom", F.when(F.col("nm") % 2 == 1, "LINE").otherwise("SINE").alias("kind"), F.least("pos", "mate_pos").alias("a"), F.greatest("pos", "mate_pos").alias("b")).distinct()
+    rows = rows.withColumn("id", F.struct("cluster_id", "chrom", "kind", "a", "b"))
     known = repeats(spark, folder).where("rclass is not null").withColumnRenamed("chrom", "rchrom")
     for end in ("a", "b"):
         rows = rows.withColumns({"lo": F.col(end) - MARGIN, "hi": F.col(end) + MARGIN})
-        rows = exists_overlap(rows, known, "id", [("chrom", "rchrom")], ("lo", "hi"), ("s", "e"), f"at_{end}")
-    return rows.select("cluster_id", "chrom", "a", "b", F.when(F.col("at_a") | F.col("at_b"), 0).otherwise(1).alias("oi"))
+        rows = exists_overlap(rows, known, "id", [("chrom", "rchrom"), ("kind", "rclass")], ("lo", "hi"), ("s", "e"), f"at_{end}")
+    return rows.select("cluster_id", "chrom", "kind", "a", "b", F.when(F.col("at_a") | F.col("at_b"), 0).otherwise(1).alias("oi"))
 
 
 def j11_first_gene(spark: SparkSession, folder: str) -> DataFrame:
@@ -75,21 +73,29 @@ def j11_first_gene(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j14_nearest(spark: SparkSession, folder: str) -> DataFrame:
-    """For each cluster member the record within 100 positions on chromosome and strand that is nearest at both ends together; of equal ones the first."""
-    left = members(spark, folder).where("chrom is not null and pos is not null and mate_pos is not null").select(F.col("chrom").alias("c"), F.col("strand").alias("st"), F.col("pos").alias("p"), F.col("mate_pos").alias("mp")).distinct()
-    left = left.withColumn("key", F.struct("c", "st", "p", "mp"))
-    right = pairs(spark, folder).where("mate_pos is not null").select("id", "chrom", "strand", "pos", "mate_pos")
-    distance = F.abs(F.col("pos") - F.col("p")) + F.abs(F.col("mate_pos") - F.col("mp"))
-    near = nearest(left, right, "key", [("c", "chrom"), ("st", "strand")], "p", "pos", NEAR, distance, [F.col("id")], {"id": F.col("id"), "distance": distance})
-    return near.select("c", "st", "p", "mp", "id", "distance")
+    """Sure positions of either table (no mismatch is unsure) against those of the other, of one chromosome, strand and kind within 100 positions: the one nearest at both ends together, of equal ones the first; the comparison runs both ways."""
+    kind = F.when(F.col("nm") % 2 == 1, "LINE").otherwise("SINE")
+    sure = "chrom is not null and pos is not null and mate_pos is not null and strand is not null and nm is not null"
+    one = members(spark, folder).where(sure).select("chrom", "strand", kind.alias("kind"), "pos", "mate_pos").distinct()
+    two = pairs(spark, folder).where(sure).select("chrom", "strand", kind.alias("kind"), "pos", "mate_pos").distinct()
+
+    def way(name: str, left: DataFrame, right: DataFrame) -> DataFrame:
+        left = left.withColumn("key", F.struct("chrom", "strand", "kind", "pos", "mate_pos"))
+        right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
+        distance = F.abs(F.col("r_pos") - F.col("pos")) + F.abs(F.col("r_mate_pos") - F.col("mate_pos"))
+        order = [F.col("r_pos"), F.col("r_mate_pos")]
+        near = nearest(left, right, "key", [("chrom", "r_chrom"), ("strand", "r_strand"), ("kind", "r_kind")], "pos", "r_pos", NEAR, distance, order, {"near_pos": F.col("r_pos"), "near_mate_pos": F.col("r_mate_pos"), "distance": distance})
+        return near.select(F.lit(name).alias("side"), "chrom", "strand", "kind", "pos", "mate_pos", "near_pos", "near_mate_pos", "distance")
+
+    return way("clusters", one, two).unionByName(way("alt_map", two, one))
 
 
 def j15_one_end(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs of which exactly one end lies in a segment."""
-    rows = pairs(spark, folder).where("pos is not null and mate_pos is not null").select("id", "chrom", "pos", "mate_chrom", "mate_pos")
-    g = _genes(spark, folder)
-    one = exists_overlap(rows, g, "id", [("chrom", "gchrom")], ("pos", "pos"), ("gs", "ge"), "at_start")
-    two = exists_overlap(one, g, "id", [("mate_chrom", "gchrom")], ("mate_pos", "mate_pos"), ("gs", "ge"), "at_mate")
+    """Pairs of which exactly one end begins in a segment of the opposite strand."""
+    rows = pairs(spark, folder).where("pos is not null and mate_pos is not null").select("id", "chrom", "pos", "mate_chrom", "mate_pos", *[F.when(F.col(c) == 1, "-").when(F.col(c) == -1, "+").alias(f"facing_{c}") for c in ("strand", "mate_strand")])
+    g = gene_spans(spark, folder).where("gchrom is not null and gname is not null and gstrand is not null").select("gchrom", "gstrand", "gs", "ge").distinct()
+    one = exists_overlap(rows, g, "id", [("chrom", "gchrom"), ("facing_strand", "gstrand")], ("pos", "pos"), ("gs", "ge"), "at_start")
+    two = exists_overlap(one, g, "id", [("mate_chrom", "gchrom"), ("facing_mate_strand", "gstrand")], ("mate_pos", "mate_pos"), ("gs", "ge"), "at_mate")
     return two.where("at_start <> at_mate").select("id", "at_start")
 
 
@@ -102,10 +108,10 @@ _SUMMARIES = "sums as (select cluster_id, chrom, mate_chrom, min(pos) as s1, max
 
 
 def j16_both_ends(spark: SparkSession, folder: str) -> DataFrame:
-    """Other clusters that each cluster, widened, overlaps at both ends."""
-    a = _summaries(spark, folder).withColumns({"lo": F.col("s1") - WIDE, "hi": F.col("s2") + WIDE})
+    """Other clusters that each cluster overlaps at both ends, whatever their strands."""
+    a = _summaries(spark, folder)
     b = a.select(F.col("cluster_id").alias("other"), F.col("chrom").alias("oc"), F.col("mate_chrom").alias("omc"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("m1").alias("om1"), F.col("m2").alias("om2"))
-    hits = overlap_join(a, b, [("chrom", "oc"), ("mate_chrom", "omc")], ("lo", "hi"), ("o1", "o2")).where(f"cluster_id <> other and m1 - {WIDE} <= om2 and om1 <= m2 + {WIDE}")
+    hits = overlap_join(a, b, [("chrom", "oc"), ("mate_chrom", "omc")], ("s1", "s2"), ("o1", "o2")).where("cluster_id <> other and m1 <= om2 and om1 <= m2")
     return hits.groupBy("cluster_id").agg(F.count_distinct("other").alias("n"), F.min("other").alias("first"))
 
 
@@ -150,19 +156,20 @@ SQL = {
     "j5_overlap": f"{_GR} select {_KEY}, count(*) as n, cast(sum(least(ge, e) - greatest(gs, s) + 1) as bigint) as shared from g join reps r on {_ON} group by {_KEY}",
     "j6_point": f"with {GENES_SQL}, {_G}, {PAIRS_SQL} select {_KEY}, count(*) as n from g join pairs p on p.chrom = g.gchrom and g.gs <= p.pos and g.ge > p.pos group by {_KEY}",
     "s8_region_scan": f"with {GENES_SQL}, {_G}, {PAIRS_SQL} select gchrom, gname, count(*) as n, count(distinct name) as reads from g join pairs p on p.chrom = g.gchrom and p.len > 0 and p.pos <= g.ge and p.pos + p.len - 1 >= g.gs group by gchrom, gname",
-    "j10_near_repeat": f"""with {MEMBERS_SQL}, {REPEATS_SQL}, m as (select distinct cluster_id, chrom, least(pos, mate_pos) as a, greatest(pos, mate_pos) as b from members where chrom is not null and pos is not null and mate_pos is not null and chrom = mate_chrom and abs(pos - mate_pos) < 1000)
-select cluster_id, chrom, a, b, case when exists (select 1 from reps r where r.rclass is not null and r.chrom = m.chrom and r.s <= m.b + 500 and r.e >= m.a - 500) then 0 else 1 end as oi from m""",
+    "j10_near_repeat": f"""with {MEMBERS_SQL}, {REPEATS_SQL}, m as (select distinct cluster_id, chrom, case when nm % 2 = 1 then 'LINE' else 'SINE' end as kind, least(pos, mate_pos) as a, greatest(pos, mate_pos) as b from members where chrom is not null and pos is not null and mate_pos is not null and chrom = mate_chrom and nm is not null)
+select *, case when exists (select 1 from reps r where r.rclass = m.kind and r.chrom = m.chrom and ((r.s <= m.a + 500 and r.e >= m.a - 500) or (r.s <= m.b + 500 and r.e >= m.b - 500))) then 0 else 1 end as oi from m""",
     "j11_first_gene": f"""with {MEMBERS_SQL}, {GENES_SQL}, {_G}, m as (select distinct chrom, pos from members where chrom is not null and pos is not null)
 , x as (select m.chrom, m.pos, gname || '_' || gtype as gene, row_number() over (partition by m.chrom, m.pos order by gs, ge, gname, gtype) as r from m left join g on g.gchrom = m.chrom and g.gs <= m.pos + 2 and g.ge >= m.pos - 2)
 select chrom, pos, coalesce(gene, '-') as gene from x where r = 1""",
-    "j14_nearest": f"""with {MEMBERS_SQL}, {PAIRS_SQL}, m as (select distinct chrom as c, strand as st, pos as p, mate_pos as mp from members where chrom is not null and pos is not null and mate_pos is not null)
-, x as (select c, st, p, mp, q.id, abs(q.pos - p) + abs(q.mate_pos - mp) as distance from m left join pairs q on q.mate_pos is not null and q.chrom = c and q.strand = st and q.pos between p - 100 and p + 100)
-, y as (select *, row_number() over (partition by c, st, p, mp order by distance, id) as r from x)
-select c, st, p, mp, id, distance from y where r = 1""",
-    "j15_one_end": f"""with {PAIRS_SQL}, {GENES_SQL}, {_G}, a as (select distinct p.id from pairs p join g on p.chrom = g.gchrom and p.pos between g.gs and g.ge), b as (select distinct p.id from pairs p join g on p.mate_chrom = g.gchrom and p.mate_pos between g.gs and g.ge)
+    "j14_nearest": f"""with {MEMBERS_SQL}, {PAIRS_SQL}, a as (select distinct 'clusters' as side, chrom, strand, case when nm % 2 = 1 then 'LINE' else 'SINE' end as kind, pos, mate_pos from members where chrom is not null and pos is not null and mate_pos is not null and strand is not null and nm is not null
+  union all select distinct 'alt_map', chrom, strand, case when nm % 2 = 1 then 'LINE' else 'SINE' end, pos, mate_pos from pairs where chrom is not null and pos is not null and mate_pos is not null and strand is not null and nm is not null)
+, x as (select a.*, b.pos as near_pos, b.mate_pos as near_mate_pos, abs(b.pos - a.pos) + abs(b.mate_pos - a.mate_pos) as distance from a left join a b on a.side <> b.side and a.chrom = b.chrom and a.strand = b.strand and a.kind = b.kind and b.pos between a.pos - 100 and a.pos + 100)
+, y as (select *, row_number() over (partition by side, chrom, strand, kind, pos, mate_pos order by distance, near_pos, near_mate_pos) as r from x)
+select side, chrom, strand, kind, pos, mate_pos, near_pos, near_mate_pos, distance from y where r = 1""",
+    "j15_one_end": f"""with {PAIRS_SQL}, {GENES_SQL}, a as (select distinct p.id from pairs p join gene_spans g on g.gname is not null and p.chrom = g.gchrom and p.pos between g.gs and g.ge and ((p.strand = 1 and g.gstrand = '-') or (p.strand = -1 and g.gstrand = '+'))), b as (select distinct p.id from pairs p join gene_spans g on g.gname is not null and p.mate_chrom = g.gchrom and p.mate_pos between g.gs and g.ge and ((p.mate_strand = 1 and g.gstrand = '-') or (p.mate_strand = -1 and g.gstrand = '+')))
 select p.id, a.id is not null as at_start from pairs p left join a on a.id = p.id left join b on b.id = p.id where p.pos is not null and p.mate_pos is not null and (a.id is not null) <> (b.id is not null)""",
     "j16_both_ends": f"""with {MEMBERS_SQL}, {_SUMMARIES}
-select a.cluster_id, count(distinct b.cluster_id) as n, min(b.cluster_id) as first from sums a join sums b on a.chrom = b.chrom and a.mate_chrom = b.mate_chrom and a.cluster_id <> b.cluster_id and a.s1 - 100000 <= b.s2 and b.s1 <= a.s2 + 100000 and a.m1 - 100000 <= b.m2 and b.m1 <= a.m2 + 100000 group by a.cluster_id""",
+select a.cluster_id, count(distinct b.cluster_id) as n, min(b.cluster_id) as first from sums a join sums b on a.chrom = b.chrom and a.mate_chrom = b.mate_chrom and a.cluster_id <> b.cluster_id and a.s1 <= b.s2 and b.s1 <= a.s2 and a.m1 <= b.m2 and b.m1 <= a.m2 group by a.cluster_id""",
     "j17_element": f"""{_GR}, h as (select {_KEY}, s, e, rname, least(ge, e) - greatest(gs, s) + 1 as shared, ge - gs + 1 as own, e - s + 1 as other from g join reps r on {_ON} and r.rname is not null and r.rclass in ('LINE', 'SINE', 'LTR', 'DNA') where ge - gs <= 100000)
 , f as (select {_KEY}, own, arg_min(rname, (s, e, rname)) filter (shared >= 0.8::double * own and shared >= 0.8::double * other) as first, sum(shared) as total from h group by {_KEY}, own)
 select {_KEY}, coalesce(first, 'complex') as element from f where first is not null or total >= 0.8::double * own""",

@@ -15,7 +15,7 @@ DELTA = 110
 
 
 def f24_complete(spark: SparkSession, folder: str) -> DataFrame:
-    """members with weight and mismatches on both sides and all names known."""
+    """members with weight and mismatches on both sides and all names known."""
     rows = members(spark, folder)
     return rows.where("weight <> 0 and nm <> 0 and length(name) > 0 and length(rg) > 0 and length(chrom) > 0 and length(mate_chrom) > 0").select("cluster_id", "name", "pos", "mate_pos")
 
@@ -62,7 +62,7 @@ def j21_orientation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j22_selected(spark: SparkSession, folder: str) -> DataFrame:
-    """Members of clusters that have an event alone, of at least 100 bases, numbered in their cluster."""
+    """Members of clusters that have an event alone, of at least 100 bases, numbered in their cluster."""
     chosen = e8_singles(spark, folder).where("event = 'del'").select("pid").distinct()
     rows = members(spark, folder).where("len >= 100 and name is not null").join(chosen, "pid", "left_semi")
     per = rows.groupBy("pid", "name").agg(F.min("pos").alias("pos"))
@@ -119,7 +119,14 @@ def r7_other_mates(spark: SparkSession, folder: str) -> DataFrame:
     """Of the records of a member's read those that stand elsewhere than the member."""
     m = members(spark, folder).where("name is not null and pos is not null").select("cluster_id", "name", F.col("pos").alias("at")).distinct()
     rows = pairs(spark, folder).where("name is not null and pos is not null").groupBy("name", "pos").agg(F.min("id").alias("id"))
-    return m.join(rows, "name").where("pos <> at").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    # One row a read in place of a row for each of its positions: how many there are, and the two positions with the least ids, of which one at most is the member's.
+    least = rows.groupBy("name").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("id", "pos")).alias("one"))
+    second = rows.join(least.select("name", F.col("one.pos").alias("pos")), ["name", "pos"], "left_anti").groupBy("name").agg(F.min("id").alias("two"))
+    own = m.join(rows.select("name", F.col("pos").alias("at"), F.lit(1).alias("here")), ["name", "at"], "left")
+    met = own.join(least.join(second, "name", "left"), "name")
+    others = F.col("all") - F.coalesce("here", F.lit(0))
+    first = F.when(F.col("one.pos") != F.col("at"), F.col("one.id")).otherwise(F.col("two"))
+    return met.where(others > 0).groupBy("cluster_id").agg(F.sum(others).alias("n"), F.min(first).alias("first"))
 
 
 _SMALL = EVENT_SQL["o7_smallest"].rsplit("select", 1)[0]

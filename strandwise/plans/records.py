@@ -74,11 +74,11 @@ REPEATS_SQL = """reps as (
 
 def gene_spans(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "genes").where("s >= 1 and e >= 1")
-    return rows.select(norm_contig("chrom").alias("gchrom"), F.least("s", "e").alias("gs"), F.greatest("s", "e").alias("ge"), norm_name("gene_name").alias("gname"), F.coalesce("gene_type", F.lit("NA")).alias("gtype"))
+    return rows.select(norm_contig("chrom").alias("gchrom"), F.least("s", "e").alias("gs"), F.greatest("s", "e").alias("ge"), norm_name("gene_name").alias("gname"), F.coalesce("gene_type", F.lit("NA")).alias("gtype"), F.trim("strand").alias("gstrand"))
 
 
 GENES_SQL = """gene_spans as (
-  select regexp_replace(trim(chrom), '^[cC][hH][rR]', '') as gchrom, least(s, e) as gs, greatest(s, e) as ge, upper(trim(gene_name)) as gname, coalesce(gene_type, 'NA') as gtype
+  select regexp_replace(trim(chrom), '^[cC][hH][rR]', '') as gchrom, least(s, e) as gs, greatest(s, e) as ge, upper(trim(gene_name)) as gname, coalesce(gene_type, 'NA') as gtype, trim(strand) as gstrand
   from genes where s >= 1 and e >= 1
 )"""
 

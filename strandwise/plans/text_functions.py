@@ -22,7 +22,7 @@ def x2_reverse_complement(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x3_prefix_difference(spark: SparkSession, folder: str) -> DataFrame:
-    """Characters in which the names of a record's read and of the one after it in the table differ."""
+    """Characters in which the names of a record's read and of its read group differ, up to the end of the shorter."""
     rows = table(spark, folder, "alt_map").where("read_name is not null and read_group is not null")
     return rows.select("alt_id", q.prefix_difference("read_name", "read_group").alias("differ"))
 
@@ -41,7 +41,7 @@ def x10_stem(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def x14_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Longest run of good codes and what trimming leaves; the parts of read names stand for qualities."""
+    """Longest run of good codes and what trimming leaves; the parts of read names stand for qualities."""
     rows = table(spark, folder, "alt_map").where("read_name is not null")
     return rows.select("alt_id", q.longest_run_above("read_name", 16).alias("run"), q.trim_length("read_name", 20).alias("left"))
 
@@ -68,15 +68,16 @@ def x23_alternatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = pairs(spark, folder).where("name is not null and chrom is not null and pos is not null and nm is not null")
     tag = F.concat(F.lit("XA:Z:"), F.col("chrom"), F.lit(","), F.when(F.col("strand") == -1, "-").otherwise("+"), F.col("pos"), F.lit(",50M,"), F.col("nm"), F.lit(";"))
     hits = rows.select("name", F.explode(q.alternative_hits(tag)).alias("h"))
-    best = hits.groupBy("name").agg(F.min("h.nm").alias("least"))
-    kept = hits.join(best, "name").where("h.nm <= least + 1")
-    families = F.array_sort(F.collect_set(F.col("h.chrom")))
-    out = kept.groupBy("name").agg(families.alias("f"), F.count(F.lit(1)).alias("n"))
+    # Hits of one read, chromosome and number of mismatches are added up first, so a hot read is a few rows.
+    kinds = hits.groupBy("name", F.col("h.chrom").alias("chrom"), F.col("h.nm").alias("nm")).agg(F.count(F.lit(1)).alias("n"))
+    best = kinds.groupBy("name").agg(F.min("nm").alias("least"))
+    kept = kinds.join(best, "name").where("nm <= least + 1")
+    out = kept.groupBy("name").agg(F.array_sort(F.collect_set("chrom")).alias("f"), F.sum("n").alias("n"))
     return out.select("name", "n", F.when(F.array_contains("f", "1"), F.lit("1")).otherwise(F.array_join("f", ",")).alias("families"))
 
 
 def j2_mate_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of one strand that look up those of the other strand of their read by (name, strand): how many, and the least."""
+    """Records of one strand that look up those of the other strand of their read by (name, strand): how many, and the least."""
     rows = pairs(spark, folder).where("name is not null")
     plus, minus = rows.where("strand = 1").select("id", "name"), rows.where("strand = -1").groupBy("name").agg(F.count(F.lit(1)).alias("mates"), F.min("id").alias("first"))
     return plus.join(minus, "name").select("id", "mates", "first")
@@ -89,7 +90,7 @@ def u2_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def u5_unordered(spark: SparkSession, folder: str) -> DataFrame:
-    """Unordered pairs of chromosomes, whichever way round, with their orientations."""
+    """Unordered pairs of chromosomes, whichever way round, with their orientations."""
     rows = pairs(spark, folder).where("chrom is not null and mate_chrom is not null and chrom <> mate_chrom")
     return rows.groupBy(F.least("chrom", "mate_chrom").alias("a"), F.greatest("chrom", "mate_chrom").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("strand", "mate_strand").alias("ways"))
 
@@ -108,8 +109,8 @@ def o4_contig_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s17_carried(spark: SparkSession, folder: str) -> DataFrame:
-    """In each file the last record with a jump, carried forward over the records after it."""
-    rows = table(spark, folder, "block_boundaries").where("file_offset is not null and file_offset < 1000000000000 and file_id is not null")
+    """In each file the last record with a jump, carried forward over the records after it; closing rows, named `last`, are no records."""
+    rows = table(spark, folder, "block_boundaries").where("file_offset is not null and file_id is not null and not (read_name <=> 'last')")
     spots = rows.groupBy("file_id", "file_offset").agg(F.max("jump_pos").alias("jump"))
     headed = spots.withColumn("header", F.when(F.col("jump") > 0, F.col("file_offset")))
     return running(headed, ["file_id"], "file_offset", "header", "section").select("file_id", "file_offset", "section")
@@ -132,12 +133,12 @@ select id, true as clipped, (least(len, nm) >= 4 or least(len, m) >= 4) as big,
     + PAIRS_SQL
     + """, h as (select *, min(nm) over (partition by name) as least from pairs where name is not null and chrom is not null and pos is not null and nm is not null)
 select name, count(*) as n, case when bool_or(chrom = '1') then '1' else array_to_string(list_sort(list(distinct chrom)), ',') end as families from h where nm <= least + 1 group by name""",
-    "j2_mate_lookup": "with " + PAIRS_SQL + ", m as (select name, count(*) as mates, min(id) as first from pairs where name is not null and nm <= 3 and strand = -1 group by name) select id, mates, first from pairs join m using (name) where nm <= 3 and strand = 1",
+    "j2_mate_lookup": "with " + PAIRS_SQL + ", m as (select name, count(*) as mates, min(id) as first from pairs where name is not null and strand = -1 group by name) select id, mates, first from pairs join m using (name) where strand = 1",
     "u2_sets": """select name, case when a and b then 'both' when a then 'only a' else 'only b' end as part from (select name, bool_or(s = 'a') as a, bool_or(s = 'b') as b from (select read_name as name, 'a' as s from alt_map union all select readname, 'b' from clusters) where name is not null group by name)""",
     "u5_unordered": "with " + PAIRS_SQL + " select least(chrom, mate_chrom) as a, greatest(chrom, mate_chrom) as b, count(*) as n, count(distinct case when strand is not null and mate_strand is not null then strand || ',' || mate_strand end) as ways from pairs where chrom is not null and mate_chrom is not null and chrom <> mate_chrom group by 1, 2",
     "f29_once": "select readname from clusters where readname is not null group by readname having count(*) = 1",
     "o4_contig_order": "with " + PAIRS_SQL + ", s as (select distinct chrom from pairs where chrom in (select regexp_replace(trim(contig), '^[cC][hH][rR]', '') from contigs)) select chrom, cast(row_number() over (order by try_cast(chrom as int) is null, try_cast(chrom as int), chrom) as int) as place from s",
-    "s17_carried": """with s as (select file_id, file_offset, max(jump_pos) as jump from block_boundaries where file_offset is not null and file_offset < 1000000000000 and file_id is not null group by all)
+    "s17_carried": """with s as (select file_id, file_offset, max(jump_pos) as jump from block_boundaries where file_offset is not null and file_id is not null and read_name is distinct from 'last' group by all)
 select file_id, file_offset, max(case when jump > 0 then file_offset end) over (partition by file_id order by file_offset) as section from s""",
 }
 
