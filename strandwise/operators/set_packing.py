@@ -6,6 +6,10 @@ weight can't change until then, since only their choice takes reads from it. So
 each round chooses all such clusters at once, which gives just the clusters of
 the sequential choice. A round is a few hash joins on reads and clusters; the
 best of a read is an aggregate, so a read in many clusters makes no pairs.
+A long chain of clusters, each better than the next, would need a round a
+cluster. So after every `ROUNDS` rounds, what is left is cut into its connected
+components, and those of at most `LOCAL_ROWS` members are chosen from one after
+the other, each in a task; larger ones go on in rounds. There is no last round.
 
 `components` links clusters by shared reads, by label propagation: every cluster
 takes the least label it sees through its reads, then that label's own label.
@@ -13,11 +17,61 @@ takes the least label it sees through its reads, then that label's own label.
 
 from __future__ import annotations
 
+import heapq
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.runtime import checkpointed
 
+ROUNDS = 6
+LOCAL_ROWS = 100_000
+
+
+class _Falling(str):
+    """A text that sorts the other way round."""
+
+    __slots__ = ()
+
+    def __lt__(self, other: str) -> bool:
+        return str.__gt__(self, other)
+
+
+def choose_in_order(group: pd.DataFrame) -> pd.DataFrame:
+    """The sequential choice in one component: c, r, w, same, tie -> leader, c, n, weight, first, tie."""
+    held: dict[int, dict[str, float]] = {}
+    of_read: dict[str, set[int]] = {}
+    fixed = {}
+    for c, r, w, same, tie in zip(group["c"].tolist(), group["r"], group["w"].tolist(), group["same"].tolist(), group["tie"].tolist(), strict=True):
+        held.setdefault(c, {})[r] = w
+        of_read.setdefault(r, set()).add(c)
+        fixed[c] = same, tie
+
+    def key(c: int) -> tuple:
+        return -round(sum(held[c].values()), 10), not fixed[c][0], _Falling(min(held[c])), c
+
+    heap = [key(c) for c in held]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        entry = heapq.heappop(heap)
+        leader = entry[3]
+        if not held[leader] or entry != key(leader):
+            continue
+        reads = dict(held[leader])
+        first, touched = min(reads), set()
+        for r in reads:
+            touched |= of_read[r]
+        out += [(leader, c, len(reads), -entry[0], first, fixed[c][1]) for c in touched if held[c].keys() == reads.keys() and key(c)[:2] == entry[:2]]
+        for r in reads:
+            for c in of_read[r]:
+                del held[c][r]
+        for c in touched:
+            if held[c]:
+                heapq.heappush(heap, key(c))
+    return pd.DataFrame(out, columns=["leader", "c", "n", "weight", "first", "tie"])
+
 
 def components(links: DataFrame, left: str, right: str) -> DataFrame:
     """`left`, `component`: the least left id that is reachable through shared right ids. Null ends link nothing."""
@@ -36,7 +90,7 @@ def components(links: DataFrame, left: str, right: str) -> DataFrame:
             return labels.select(F.col("l").alias(left), F.col("c").alias("component"))
 
 
-def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: str, mate_chrom: str, size: str, mismatches: str, most_rounds: int = 500) -> DataFrame:
+def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: str, mate_chrom: str, size: str, mismatches: str) -> DataFrame:
     """Chosen clusters: `leader`, `rank` (0, 1, ... among the equal clusters that go together), `cluster`, `n_reads`, `weight`, `first_read`.
 
     The order of choice is that of weight (largest first), one chromosome before
@@ -52,9 +106,19 @@ def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: s
     fixed = rows.groupBy("c").agg(F.bool_and("same").alias("same"), F.avg("size").alias("size"), F.sum("mm").alias("mm"))
     fixed = checkpointed(fixed.select("c", "same", F.when(F.col("same"), F.coalesce("size", F.lit(0.0))).otherwise(F.col("mm").cast("double")).alias("tie")))
     left, chosen = rows.select("c", "r", "w"), []
-    for _ in range(most_rounds):
-        if left.isEmpty():
-            break
+    turn = 0
+    while not left.isEmpty():
+        turn += 1
+        if turn % ROUNDS == 0:
+            of = components(left, "c", "r").withColumnRenamed("c", "of_c")
+            labelled = checkpointed(left.join(of, F.col("c") == F.col("of_c")).drop("of_c"))
+            small = labelled.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(f"n <= {LOCAL_ROWS}").select("component")
+            local = labelled.join(small, "component", "left_semi").join(fixed, "c")
+            kinds = {f.name: f.dataType.simpleString() for f in left.schema}
+            solved = local.groupBy("component").applyInPandas(lambda g: choose_in_order(g), f"leader {kinds['c']}, c {kinds['c']}, n long, weight double, first {kinds['r']}, tie double")
+            chosen.append(checkpointed(solved))
+            left = checkpointed(labelled.join(small, "component", "left_anti").select("c", "r", "w"))
+            continue
         heads = left.groupBy("c").agg(F.round(F.sum("w"), 10).alias("weight"), F.min("r").alias("first"), F.count(F.lit(1)).alias("n")).join(fixed, "c")
         heads = checkpointed(heads.withColumn("key", F.struct("weight", "same", "first", (-F.col("c")).alias("no"))))
         keyed = left.join(heads.select("c", "key"), "c")
@@ -67,8 +131,6 @@ def pack_sets(members: DataFrame, cluster: str, read: str, weight: str, chrom: s
         equal = shared.join(heads, "c").join(lead, "leader").where("shared = n and n = ln and weight = lw and same = ls")
         chosen.append(checkpointed(equal.select("leader", "c", "n", "weight", "first", "tie")))
         left = checkpointed(left.join(taken.select("r"), "r", "left_anti").select("c", "r", "w"))
-    else:
-        raise RuntimeError(f"the choice did not end in {most_rounds} rounds")
     every = None
     for part in chosen:
         every = part if every is None else every.unionByName(part)

@@ -99,22 +99,6 @@ def j15_one_end(spark: SparkSession, folder: str) -> DataFrame:
     return two.where("at_start <> at_mate").select("id", "at_start")
 
 
-def _summaries(spark: SparkSession, folder: str) -> DataFrame:
-    rows = members(spark, folder).where("chrom is not null and mate_chrom is not null and pos is not null and mate_pos is not null")
-    return rows.groupBy("cluster_id", "chrom", "mate_chrom").agg(F.min("pos").alias("s1"), F.max("pos").alias("s2"), F.min("mate_pos").alias("m1"), F.max("mate_pos").alias("m2"))
-
-
-_SUMMARIES = "sums as (select cluster_id, chrom, mate_chrom, min(pos) as s1, max(pos) as s2, min(mate_pos) as m1, max(mate_pos) as m2 from members where chrom is not null and mate_chrom is not null and pos is not null and mate_pos is not null group by all)"
-
-
-def j16_both_ends(spark: SparkSession, folder: str) -> DataFrame:
-    """Other clusters that each cluster overlaps at both ends, whatever their strands."""
-    a = _summaries(spark, folder)
-    b = a.select(F.col("cluster_id").alias("other"), F.col("chrom").alias("oc"), F.col("mate_chrom").alias("omc"), F.col("s1").alias("o1"), F.col("s2").alias("o2"), F.col("m1").alias("om1"), F.col("m2").alias("om2"))
-    hits = overlap_join(a, b, [("chrom", "oc"), ("mate_chrom", "omc")], ("s1", "s2"), ("o1", "o2")).where("cluster_id <> other and m1 <= om2 and om1 <= m2")
-    return hits.groupBy("cluster_id").agg(F.count_distinct("other").alias("n"), F.min("other").alias("first"))
-
-
 def j17_element(spark: SparkSession, folder: str) -> DataFrame:
     """The first repeat that a segment and it cover each other of by 0.8; else `complex` if all its parts of repeats add up to that."""
     g = _segments(spark, folder).where(F.col("ge") - F.col("gs") <= LARGEST_ELEMENT)
@@ -168,8 +152,6 @@ select chrom, pos, coalesce(gene, '-') as gene from x where r = 1""",
 select side, chrom, strand, kind, pos, mate_pos, near_pos, near_mate_pos, distance from y where r = 1""",
     "j15_one_end": f"""with {PAIRS_SQL}, {GENES_SQL}, a as (select distinct p.id from pairs p join gene_spans g on g.gname is not null and p.chrom = g.gchrom and p.pos between g.gs and g.ge and ((p.strand = 1 and g.gstrand = '-') or (p.strand = -1 and g.gstrand = '+'))), b as (select distinct p.id from pairs p join gene_spans g on g.gname is not null and p.mate_chrom = g.gchrom and p.mate_pos between g.gs and g.ge and ((p.mate_strand = 1 and g.gstrand = '-') or (p.mate_strand = -1 and g.gstrand = '+')))
 select p.id, a.id is not null as at_start from pairs p left join a on a.id = p.id left join b on b.id = p.id where p.pos is not null and p.mate_pos is not null and (a.id is not null) <> (b.id is not null)""",
-    "j16_both_ends": f"""with {MEMBERS_SQL}, {_SUMMARIES}
-select a.cluster_id, count(distinct b.cluster_id) as n, min(b.cluster_id) as first from sums a join sums b on a.chrom = b.chrom and a.mate_chrom = b.mate_chrom and a.cluster_id <> b.cluster_id and a.s1 <= b.s2 and b.s1 <= a.s2 and a.m1 <= b.m2 and b.m1 <= a.m2 group by a.cluster_id""",
     "j17_element": f"""{_GR}, h as (select {_KEY}, s, e, rname, least(ge, e) - greatest(gs, s) + 1 as shared, ge - gs + 1 as own, e - s + 1 as other from g join reps r on {_ON} and r.rname is not null and r.rclass in ('LINE', 'SINE', 'LTR', 'DNA') where ge - gs <= 100000)
 , f as (select {_KEY}, own, arg_min(rname, (s, e, rname)) filter (shared >= 0.8::double * own and shared >= 0.8::double * other) as first, sum(shared) as total from h group by {_KEY}, own)
 select {_KEY}, coalesce(first, 'complex') as element from f where first is not null or total >= 0.8::double * own""",
@@ -180,4 +162,4 @@ select *, 'BP:' || case when exists (select 1 from sr where sr.chrom = m.chrom a
   || '_' || case when exists (select 1 from sr where sr.chrom = m.mate_chrom and m.mate_pos between sr.s and sr.e) then 'SR' when exists (select 1 from te where te.chrom = m.mate_chrom and m.mate_pos between te.s and te.e) then 'TE' else '' end as kind from m""",
 }
 
-QUERIES = {f.__name__: f for f in (j5_overlap, j6_point, s8_region_scan, j10_near_repeat, j11_first_gene, j14_nearest, j15_one_end, j16_both_ends, j17_element, j18_simple_repeat, j19_breakpoint_kind)}
+QUERIES = {f.__name__: f for f in (j5_overlap, j6_point, s8_region_scan, j10_near_repeat, j11_first_gene, j14_nearest, j15_one_end, j17_element, j18_simple_repeat, j19_breakpoint_kind)}

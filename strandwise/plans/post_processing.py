@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandwise.operators.intervals import overlap_join
 from strandwise.operators.regions import demoted_name, first_of, insertion_orientation, is_orphan, is_transduction, merge_regions, widen
 from strandwise.plans.events_queries import SQL as EVENT_SQL
 from strandwise.plans.events_queries import e8_singles, smallest_intra
 from strandwise.plans.records import MEMBERS_SQL, PAIRS_SQL, members, pairs
+from strandwise.runtime import checkpointed
 from strandwise.sources.sinks import discord_bed, event_lines
 
 DELTA = 110
@@ -69,13 +71,28 @@ def j22_selected(spark: SparkSession, folder: str) -> DataFrame:
     return per.withColumn("no", F.row_number().over(Window.partitionBy("pid").orderBy("pos", "name")))
 
 
-def k8_discord_bed(spark: SparkSession, folder: str) -> DataFrame:
-    """Windows around both ends of supported clusters."""
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
     rows = members(spark, folder).where("chrom is not null and mate_chrom is not null and pos is not null and mate_pos is not null")
     per = rows.groupBy("pid", "sid", "chrom", F.col("mate_chrom").alias("mchrom")).agg(F.count_distinct("name").alias("support"), F.min("pos").alias("pos"), F.min("mate_pos").alias("mpos"), F.max("strand").alias("strand"), F.max("mate_strand").alias("mstrand"))
     return discord_bed(per)
 
 
+def k8_discord_bed(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows around both ends of supported clusters."""
+    return _windows(spark, folder)
+
+
+def j16_both_ends(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusters of another name whose windows a cluster's windows overlap at both ends, either way round, whatever their strands; windows are open at their end."""
+    w = checkpointed(_windows(spark, folder))
+    name = F.concat_ws("~", "pid", "sid")
+    a = w.select(name.alias("name"), "chrom1", "start1", (F.col("end1") - 1).alias("last1"), "chrom2", "start2", (F.col("end2") - 1).alias("last2"))
+    ways = a.unionByName(a.selectExpr("name", "chrom2 as chrom1", "start2 as start1", "last2 as last1", "chrom1 as chrom2", "start1 as start2", "last1 as last2"))
+    b = a.select(*[F.col(c).alias(f"o_{c}") for c in a.columns])
+    hits = overlap_join(ways, b, [("chrom1", "o_chrom1"), ("chrom2", "o_chrom2")], ("start1", "last1"), ("o_start1", "o_last1")).where("name <> o_name and start2 <= o_last2 and o_start2 <= last2")
+    return hits.groupBy("name").agg(F.count_distinct("o_name").alias("n"), F.min("o_name").alias("first"))
+
+
 def k4_event_lines(spark: SparkSession, folder: str) -> DataFrame:
     """K4: one text for each event that an anchor settles for."""
     return event_lines(smallest_intra(spark, folder))
@@ -129,6 +146,9 @@ def r7_other_mates(spark: SparkSession, folder: str) -> DataFrame:
     return met.where(others > 0).groupBy("cluster_id").agg(F.sum(others).alias("n"), F.min(first).alias("first"))
 
 
+_BED = f"""with {MEMBERS_SQL}, p as (select pid, sid, chrom, mate_chrom, count(distinct name) as support, min(pos) as pos, min(mate_pos) as mpos, max(strand) as strand, max(mate_strand) as mstrand from members where chrom is not null and mate_chrom is not null and pos is not null and mate_pos is not null group by pid, sid, chrom, mate_chrom)
+, bed as (select chrom as chrom1, greatest(pos - 1000, 0) as start1, pos + 1000 as end1, mate_chrom as chrom2, greatest(mpos - 1000, 0) as start2, mpos + 1000 as end2, pid, sid, case when strand = 1 then '+' else '-' end as strand1, case when mstrand = 1 then '+' else '-' end as strand2
+  from p where support >= 3 and not starts_with(chrom, 'GL') and not starts_with(mate_chrom, 'GL') and (chrom <> mate_chrom or abs(mpos - pos) > 10000 or mpos = pos))"""
 _SMALL = EVENT_SQL["o7_smallest"].rsplit("select", 1)[0]
 
 SQL = {
@@ -146,9 +166,9 @@ select *, case when first = '+-' and second = '-+' then '1 no' when first = '-+'
     "j22_selected": EVENT_SQL["e8_singles"].replace("select * from y where", ", sv as (select * from y where")
     + """), per as (select pid, name, min(pos) as pos from members where len >= 100 and name is not null and pid in (select pid from sv where event = 'del') group by pid, name)
 select pid, name, pos, cast(row_number() over (partition by pid order by pos nulls first, name) as int) as no from per""",
-    "k8_discord_bed": f"""with {MEMBERS_SQL}, p as (select pid, sid, chrom, mate_chrom, count(distinct name) as support, min(pos) as pos, min(mate_pos) as mpos, max(strand) as strand, max(mate_strand) as mstrand from members where chrom is not null and mate_chrom is not null and pos is not null and mate_pos is not null group by pid, sid, chrom, mate_chrom)
-select chrom as chrom1, greatest(pos - 1000, 0) as start1, pos + 1000 as end1, mate_chrom as chrom2, greatest(mpos - 1000, 0) as start2, mpos + 1000 as end2, pid, sid, case when strand = 1 then '+' else '-' end as strand1, case when mstrand = 1 then '+' else '-' end as strand2
-from p where support >= 3 and not starts_with(chrom, 'GL') and not starts_with(mate_chrom, 'GL') and (chrom <> mate_chrom or abs(mpos - pos) > 10000 or mpos = pos)""",
+    "k8_discord_bed": _BED + " select * from bed",
+    "j16_both_ends": _BED + """, n as (select pid || '~' || sid as name, * from bed), w as (select name, chrom1, start1, end1, chrom2, start2, end2 from n union all select name, chrom2, start2, end2, chrom1, start1, end1 from n)
+select w.name, count(distinct o.name) as n, min(o.name) as first from w join n o on w.name <> o.name and w.chrom1 = o.chrom1 and w.chrom2 = o.chrom2 and w.start1 < o.end1 and o.start1 < w.end1 and w.start2 < o.end2 and o.start2 < w.end2 group by w.name""",
     "k4_event_lines": _SMALL + """select event || chr(9) || pid || '/' || partner || chr(9) || chrom || chr(9) || start || chr(9) || "end" || chr(9) || ("end" - start) as line from top where start <> 0 and "end" <> 0""",
     "e15_split_demotion": _SMALL + "select event, count(*) as n, case when event = 'del_invers' then 'invers_f' when replace(event, 'del_', '') in ('inssd', 'inssu') then 'tandem_dup' when replace(event, 'del_', '') in ('insod', 'insou') then 'invers_f' else event end as becomes from top group by event",
     "r3_regions": f"with {MEMBERS_SQL}, {_REGIONS} select * from regions",
@@ -158,4 +178,4 @@ select rg, case when lost > 0 then 'unplaced' when p > 0 and m > 0 then 'paired'
 select cluster_id, count(*) as n, min(id) as first from m join r using (name) where pos <> here group by cluster_id""",
 }
 
-QUERIES = {f.__name__: f for f in (f24_complete, f26_orphans, a18_longest, a20_furthest, a21_rescued, j21_orientation, j22_selected, k8_discord_bed, k4_event_lines, e15_split_demotion, r3_regions, w9_merged_regions, r1_read_pairs, r7_other_mates)}
+QUERIES = {f.__name__: f for f in (f24_complete, f26_orphans, a18_longest, a20_furthest, a21_rescued, j21_orientation, j22_selected, k8_discord_bed, j16_both_ends, k4_event_lines, e15_split_demotion, r3_regions, w9_merged_regions, r1_read_pairs, r7_other_mates)}

@@ -12,6 +12,7 @@ from strandwise.operators.coverage import coverage
 from strandwise.operators.gap_clusters import gap_clusters, wildcard_clusters
 from strandwise.operators.intervals import LEVELS, exists_overlap, fold_overlap, overlap_join, point_join
 from strandwise.operators.pairing import confidence, insertion_score, strand_modes
+import strandwise.operators.set_packing as set_packing
 from strandwise.operators.set_packing import components, pack_sets
 
 
@@ -139,6 +140,19 @@ def test_choice_in_rounds_is_that_of_one_by_one(spark):
     assert weights == sorted(weights, reverse=True)
 
 
+@pytest.mark.parametrize("rounds", [1, 3, 1000])
+def test_a_long_chain_has_an_end(spark, monkeypatch, rounds):
+    """Each cluster is better than the next, so a round can choose one only; components are chosen from apart."""
+    monkeypatch.setattr(set_packing, "ROUNDS", rounds)
+    n = 14 if rounds > 100 else 60
+    clusters = {c: {f"r{c:03}": 1.0, f"r{c + 1:03}": 1.0 + (n - c) / 100} for c in range(n)} | {500: {"x": 1.0}, 501: {"x": 1.0}}
+    got = pack_sets(frame(spark, clusters), "c", "r", "w", "a", "b", "size", "mm").collect()
+    groups: dict = {}
+    for x in got:
+        groups.setdefault(x.leader, set()).add(x.cluster)
+    assert groups == dict(one_by_one(clusters))
+
+
 def test_components(spark):
     rnd = random.Random(5)
     links = [(rnd.randrange(60), f"r{rnd.randrange(70)}") for _ in range(70)] + [(100 + i, f"chain{i // 1}") for i in range(20)] + [(101 + i, f"chain{i}") for i in range(19)] + [(500, None)]
