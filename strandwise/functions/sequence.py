@@ -70,17 +70,16 @@ def quality_codes(qual: Column | str, offset: int = 33) -> Column:
 
 
 def trim_length(qual: Column | str, threshold: int, offset: int = 33) -> Column:
-    """How many characters quality trimming leaves: up to where the sum of (threshold - quality) from the right is largest; it stops where the sum falls below zero."""
+    """How many characters quality trimming leaves: all if the last one is good enough, else up to where the sum of (threshold - quality) from the right is largest, of equal places the rightmost."""
     codes = F.reverse(quality_codes(qual, offset))
-    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(0).alias("best"), F.lit(0).alias("cut"), F.lit(True).alias("go"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("s"), F.lit(-(2**31)).alias("best"), F.lit(0).alias("cut"))
 
     def step(a, q):
         s = a.s + (threshold - q)
-        go = a.go & (s >= 0)
-        better = go & (s > a.best)
-        return F.struct((a.i + 1).alias("i"), s.alias("s"), F.when(better, s).otherwise(a.best).alias("best"), F.when(better, a.i + 1).otherwise(a.cut).alias("cut"), go.alias("go"))
+        return F.struct((a.i + 1).alias("i"), s.alias("s"), F.greatest(a.best, s).alias("best"), F.when(s > a.best, a.i + 1).otherwise(a.cut).alias("cut"))
 
-    return F.char_length(_c(qual)) - F.aggregate(codes, zero, step, lambda a: a.cut)
+    good = F.coalesce(F.get(codes, F.lit(0)) >= threshold, F.lit(True))
+    return F.char_length(_c(qual)) - F.when(good, 0).otherwise(F.aggregate(codes, zero, step, lambda a: a.cut))
 
 
 def longest_run_above(qual: Column | str, threshold: int, offset: int = 33) -> Column:
@@ -166,3 +165,43 @@ def alternative_hits(tag: Column | str) -> Column:
         return F.struct(f[0].alias("chrom"), F.when(F.left(f[1], F.lit(1)) == "-", -1).otherwise(1).alias("strand"), F.abs(signed).alias("pos"), f[2].alias("cigar"), f[3].cast("int").alias("nm"))
 
     return F.transform(hits, hit)
+
+
+def clip_position(pos: Column, ops: Column, reverse: Column) -> Column:
+    """Where a read is clipped: its position on the plus strand; on the minus one, negative, behind all bases but insertions and soft clips, a leading soft clip included in what does not count."""
+    behind = F.aggregate(ops, F.lit(0), lambda t, o: t + F.when(o.op.isin("I", "S"), 0).otherwise(o.len))
+    return F.when(reverse & (F.size(ops) > 0), -(pos + behind)).otherwise(pos)
+
+
+def segments(seq: Column, ops: Column, reverse: Column, least: int) -> Column:
+    """The pieces of a read by its CIGAR operations, after matches are merged and deletions and hard clips left out, of at least so many bases, as the sequencer read them."""
+    kept = F.filter(normal_cigar(ops), lambda o: o.op != "H")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a, o):
+        piece = F.substr(seq, a.at + 1, o.len)
+        return F.struct((a.at + o.len).alias("at"), F.concat(a.out, F.array(piece)).alias("out"))
+
+    pieces = F.filter(F.aggregate(kept, zero, step, lambda a: a.out), lambda x: F.char_length(x) >= least)
+    return F.transform(pieces, lambda x: F.when(reverse, reverse_complement(x)).otherwise(x))
+
+
+def without_poly_tail(seq: Column | str, base: str, least: int = 5) -> Column:
+    """Without the run of `base` at the end if it has at least so many; one other base before a further run is taken for it."""
+    s = _c(seq)
+    repaired = F.regexp_replace(s, f"(?<=.{base})[^{base}](?={base}*$)", base)
+    return F.regexp_replace(repaired, f"{base}{{{least},}}$", "")
+
+
+def choose_hit(hits: Column, first: Column, mate_pos: Column, apart: Column, left_size: Column, left_at: Column, right_at: Column, spacer: int = 100) -> Column:
+    """Which of a read's other places in the region of its mate is right: the position of the first hit that stands `apart` from the mate to within 1, which ends the search; else, in order, a hit of the half in which the place so far stands takes over if it is nearer to that half's breakpoint."""
+    zero = F.struct(first.alias("at"), F.lit(False).alias("done"))
+
+    def step(a, h):
+        exact = F.abs(F.abs(h - mate_pos) - apart) < 2
+        nearer = lambda bp: F.abs(h - bp) < F.abs(a.at - bp)
+        left = (a.at < left_size) & (h < left_size) & nearer(left_at)
+        right = (a.at > left_size + spacer) & (h > left_size + spacer) & nearer(right_at)
+        return F.when(a.done, a).otherwise(F.struct(F.when(exact | left | right, h).otherwise(a.at).alias("at"), exact.alias("done")))
+
+    return F.aggregate(hits, zero, step, lambda a: a.at)

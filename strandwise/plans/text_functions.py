@@ -40,12 +40,6 @@ def x10_stem(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("alt_id", q.strip_suffix("read_name", (":",)).alias("stem"), q.snip("read_name", F.col("read_strand") == -1, 2, 6).alias("piece"))
 
 
-def x14_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """Longest run of good codes and what trimming leaves; the parts of read names stand for qualities."""
-    rows = table(spark, folder, "alt_map").where("read_name is not null")
-    return rows.select("alt_id", q.longest_run_above("read_name", 16).alias("run"), q.trim_length("read_name", 20).alias("left"))
-
-
 def x19_cigar(spark: SparkSession, folder: str) -> DataFrame:
     """CIGARs made of lengths and mismatches; clipped, normal form, longest match, kept end, flags."""
     rows = pairs(spark, folder).where("len > 0 and nm is not null")
@@ -109,9 +103,9 @@ def o4_contig_order(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def s17_carried(spark: SparkSession, folder: str) -> DataFrame:
-    """In each file the last record with a jump, carried forward over the records after it; closing rows, named `last`, are no records."""
+    """In each file the last record with the duplicate flag, carried forward over the records after it; closing rows, named `last`, are no records."""
     rows = table(spark, folder, "block_boundaries").where("file_offset is not null and file_id is not null and not (read_name <=> 'last')")
-    spots = rows.groupBy("file_id", "file_offset").agg(F.max("jump_pos").alias("jump"))
+    spots = rows.groupBy("file_id", "file_offset").agg(F.max(F.col("aln_flag").bitwiseAND(F.lit(1024).cast("long"))).alias("jump"))
     headed = spots.withColumn("header", F.when(F.col("jump") > 0, F.col("file_offset")))
     return running(headed, ["file_id"], "file_offset", "header", "section").select("file_id", "file_offset", "section")
 
@@ -138,8 +132,8 @@ select name, count(*) as n, case when bool_or(chrom = '1') then '1' else array_t
     "u5_unordered": "with " + PAIRS_SQL + " select least(chrom, mate_chrom) as a, greatest(chrom, mate_chrom) as b, count(*) as n, count(distinct case when strand is not null and mate_strand is not null then strand || ',' || mate_strand end) as ways from pairs where chrom is not null and mate_chrom is not null and chrom <> mate_chrom group by 1, 2",
     "f29_once": "select readname from clusters where readname is not null group by readname having count(*) = 1",
     "o4_contig_order": "with " + PAIRS_SQL + ", s as (select distinct chrom from pairs where chrom in (select regexp_replace(trim(contig), '^[cC][hH][rR]', '') from contigs)) select chrom, cast(row_number() over (order by try_cast(chrom as int) is null, try_cast(chrom as int), chrom) as int) as place from s",
-    "s17_carried": """with s as (select file_id, file_offset, max(jump_pos) as jump from block_boundaries where file_offset is not null and file_id is not null and read_name is distinct from 'last' group by all)
+    "s17_carried": """with s as (select file_id, file_offset, max(aln_flag & 1024) as jump from block_boundaries where file_offset is not null and file_id is not null and read_name is distinct from 'last' group by all)
 select file_id, file_offset, max(case when jump > 0 then file_offset end) over (partition by file_id order by file_offset) as section from s""",
 }
 
-QUERIES = {f.__name__: f for f in (x2_reverse_complement, x3_prefix_difference, x7_trimmed, x10_stem, x14_quality, x19_cigar, x25_tails, x23_alternatives, j2_mate_lookup, u2_sets, u5_unordered, f29_once, o4_contig_order, s17_carried)}
+QUERIES = {f.__name__: f for f in (x2_reverse_complement, x3_prefix_difference, x7_trimmed, x10_stem, x19_cigar, x25_tails, x23_alternatives, j2_mate_lookup, u2_sets, u5_unordered, f29_once, o4_contig_order, s17_carried)}
