@@ -136,6 +136,31 @@ def single_event() -> Column:
       when t = 3 then named_struct('event', 'tandem_dup', 'start', s1, 'end', m2, 'size', m1 - s1) end""")
 
 
+#: What stands for a homology that is not known.
+UNKNOWN_HOMOLOGY = 1_000
+
+
+def refined(df: DataFrame, read_len: int, spacer: int = 100) -> DataFrame:
+    """`df` (event, start, end, bp0, bp1, between) with bounds after local alignment: `start`, `end`, `size`, `inserted`, `homology`; events without a size go.
+
+    Both called bounds have a window a read long on both sides; where the windows
+    meet they are one sequence, else two with a spacer between. `bp0` and `bp1`
+    are places in it, from 1, 0 for none, which keeps the called bound. Bases
+    `between` (more than 0) make a deletion one with an insertion; negative ones
+    are a homology, unknown if `bp0` is.
+    """
+    c = F.col
+    one_sequence = (c("start") + read_len >= c("end") - read_len) & (c("end") + read_len >= c("start") - read_len)
+    left = F.when(c("bp0") == 0, c("start")).otherwise(c("start") - read_len + c("bp0") - 1)
+    far = F.when(one_sequence, c("start") - read_len + c("bp1") - 1).otherwise(c("end") - read_len + c("bp1") - (2 * read_len + spacer) - 2)
+    right = F.when(c("bp1") == 0, c("end")).otherwise(far)
+    rows = df.withColumns({"left": left, "right": right, "between": F.when(c("bp0") == 0, -UNKNOWN_HOMOLOGY).otherwise(c("between"))})
+    more = (c("event") == "del") & (c("between") > 0)
+    size = c("right") - c("left") - F.when(c("event") == "del", 1).otherwise(0)
+    rows = rows.withColumns({"size": size, "inserted": F.when(more, c("between")), "homology": F.when(~more, -c("between")), "event": F.when(more, "del_ins").otherwise(c("event"))})
+    return rows.where("size > 0").drop("start", "end", "bp0", "bp1", "between").withColumnsRenamed({"left": "start", "right": "end"})
+
+
 def mechanism(event: str, homology: str, inserted: str, element: str, inserted_element: str, simple: str, inserted_simple: str) -> str:
     """SQL: the mechanism of an event, first that fits, by what is deleted and, for composite events, what is inserted."""
     return f"""case

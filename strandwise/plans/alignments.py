@@ -318,6 +318,15 @@ select cluster_id, m.chrom || '~' || m.mate_chrom as own, coalesce(a.n, b.n) as
 select cluster_id, strand, no, pos, name from (select *, cast(row_number() over (partition by cluster_id, strand order by d, pos, name) as int) as no from d) where no <= 2""",
     "r4_region_sequence": f"""with b as (select doc_id, translate(regexp_replace(text, '[^ACGTacgt]', 'N', 'g'), 'acgt', 'ACGT') as s from documents where text is not null and text <> '')
 select doc_id, case when length(s) <= 120 then s else substr(s, 1, 60) || repeat('N', 100) || case when doc_id % 2 = 1 then {_RC.format('right(s, 60)')} else right(s, 60) end end as seq from b""",
+    "r5_chosen": f"""{_A}, h0 as (select id, pos % 1000 as a0, mate_pos % 1000 as mp, [(pos * i + mate_pos) % 1000 for i in [1, 2, 3, 4]] as h from aln where mapped and mate_mapped)
+, h1 as (select *, abs(abs(h[1] - mp) - 131) < 2 as e1, abs(abs(h[2] - mp) - 131) < 2 as e2, abs(abs(h[3] - mp) - 131) < 2 as e3, abs(abs(h[4] - mp) - 131) < 2 as e4 from h0)
+, s1 as (select *, case when e1 or (a0 < 400 and h[1] < 400 and abs(h[1] - 350) < abs(a0 - 350)) or (a0 > 500 and h[1] > 500 and abs(h[1] - 900) < abs(a0 - 900)) then h[1] else a0 end as a1 from h1)
+, s2 as (select *, case when e1 then a1 when e2 or (a1 < 400 and h[2] < 400 and abs(h[2] - 350) < abs(a1 - 350)) or (a1 > 500 and h[2] > 500 and abs(h[2] - 900) < abs(a1 - 900)) then h[2] else a1 end as a2 from s1)
+, s3 as (select *, case when e1 or e2 then a2 when e3 or (a2 < 400 and h[3] < 400 and abs(h[3] - 350) < abs(a2 - 350)) or (a2 > 500 and h[3] > 500 and abs(h[3] - 900) < abs(a2 - 900)) then h[3] else a2 end as a3 from s2)
+, s4 as (select *, case when e1 or e2 or e3 then a3 when e4 or (a3 < 400 and h[4] < 400 and abs(h[4] - 350) < abs(a3 - 350)) or (a3 > 500 and h[4] > 500 and abs(h[4] - 900) < abs(a3 - 900)) then h[4] else a3 end as at_ from s3)
+select id, at_ as "at", case when at_ % 2 = 1 then 81 else 65 end as flag from s4""",
+    "x26_tails": f"""{_A}, t as (select id, regexp_replace(seq, '(T)[^T](T*)$', '\\1T\\2') as a, regexp_replace(reverse(seq), '(A)[^A](A*)$', '\\1A\\2') as b, length(seq) - length(rtrim(seq, 'T')) as ta, length(seq) - length(ltrim(seq, 'A')) as tb from aln)
+select id, cast(case when length(a) - length(rtrim(a, 'T')) >= 5 then length(rtrim(a, 'T')) else length(a) end as int) as without_t, cast(case when length(b) - length(rtrim(b, 'A')) >= 5 then length(rtrim(b, 'A')) else length(b) end as int) as without_a from t""",
 }
 
 QUERIES = {f.__name__: f for f in (f5_extracted, f8_unmapped, f9_clipped_reads, f11_low_ends, f14_unique, x14_quality, x15_split, r9_tagged, r1_fastq, r8_fragments, r2_segments, x17_soft, w5_couples, k1_sam_lines, j20_sequences, j23_numbered, j24_either_way, a19_across_files, o8_first_by_key, o10_two_nearest, r4_region_sequence, r5_chosen, x26_tails)}

@@ -261,6 +261,11 @@ _INSERTIONS = f"""{_MODES}, {REPEATS_SQL}, crs as (select chrom, kind, lo, hi, c
 
 SQL = {
     "w1_clusters": f"with {PAIRS_SQL}, {_CLUSTERS} select chrom, strand, s, e, ram, reads, families from clusters_",
+    "w1_wildcard": f"""with recursive {PAIRS_SQL}, {_ANCHORED}, fams as (select distinct chrom, strand, family as f from anchored), ev as materialized (select a.chrom, a.strand, f, pos, id, family = f as own, row_number() over (partition by a.chrom, a.strand, f order by pos, id) as no from anchored a join fams on fams.chrom = a.chrom and fams.strand is not distinct from a.strand and (a.family = f or (a.family = '{WILDCARD}' and f <> '{WILDCARD}')))
+, w as (select chrom, strand, f, no, own as kept, own as opens, case when own then pos end as last, pos from ev where no = 1
+  union all select e.chrom, e.strand, e.f, e.no, e.own or coalesce(e.pos - w.last <= {WILDCARD_GAP}, false), e.own and coalesce(e.pos - w.last > {WILDCARD_GAP}, true), case when e.own or coalesce(e.pos - w.last <= {WILDCARD_GAP}, false) then e.pos else w.last end, e.pos from w join ev e on e.chrom = w.chrom and e.strand is not distinct from w.strand and e.f = w.f and e.no = w.no + 1)
+, c as (select *, sum(opens::int) over (partition by chrom, strand, f order by no) - 1 as cluster_no from w where kept)
+select chrom, strand, f as family, cast(cluster_no as bigint) as cluster_no, min(pos) as s, max(pos) as e, count(*) as ram from c group by chrom, strand, f, cluster_no""",
     "j7_strand_pairs": f"with {PAIRS_SQL}, {_PAIRS} select chrom, p_s, p_e, n_s, n_e, p_ram, n_ram from paired",
     "w7_adjacent": f"with {PAIRS_SQL}, {_RAW} select chrom, p_s, p_e, n_s, n_e, p_ram + n_ram as size from regions where kind = 'pair'",
     "k5_raw_clusters": f"""with {PAIRS_SQL}, {_RAW} select kind, chrom, lo as s, hi as e, hi - lo + 1 as size, array_to_string(families, ',') as families,

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strandwise.plans import alignments, annotation_periods, discordance, events_queries, heavy_contigs, insertions, interval_queries, post_processing, text_functions, variants
+from strandwise.plans import alignments, annotation_periods, discordance, events_queries, heavy_contigs, insertions, interval_queries, post_processing, refinement, text_functions, variants
 
-MODULES = (annotation_periods, heavy_contigs, discordance, interval_queries, insertions, events_queries, text_functions, post_processing, variants, alignments)
+MODULES = (annotation_periods, heavy_contigs, discordance, interval_queries, insertions, events_queries, text_functions, post_processing, variants, alignments, refinement)
 
 
 def queries() -> dict:

@@ -43,3 +43,12 @@ def event_lines(events: DataFrame) -> DataFrame:
     """One text an event: type, ids as `pid/partner`, chromosome, start, end and size; events with an unknown bound go."""
     kept = events.where("start is not null and `end` is not null and start <> 0 and `end` <> 0")
     return kept.select(F.concat_ws("\t", "event", F.concat_ws("/", "pid", "partner"), "chrom", "start", "end", (F.col("end") - F.col("start")).cast("string")).alias("line"))
+
+
+def variant_lines(variants: DataFrame) -> DataFrame:
+    """One text an event with the columns of its type: a translocation both points, a single event its range and size, an inversion of two clusters both ranges, an insertion both ranges and what is inserted. Events with a bound of 0 go."""
+    kept = variants.where("start <> 0 and `end` <> 0 and coalesce(mate_start, 1) <> 0 and coalesce(mate_end, 1) <> 0")
+    line = lambda *columns: F.concat_ws("\t", *[F.col(c).cast("string") for c in columns])
+    both = ["event", "ids", "chrom", "start", "end", "size", "mate_chrom", "mate_start", "mate_end"]
+    form = F.when(F.col("event") == "transl_inter", line("event", "pid", "chrom", "start", "mate_chrom", "end")).when(F.col("partner").isNull(), line(*both[:1], "pid", *both[2:6])).when(F.col("rule") == "invers", line(*both)).otherwise(line(*both, "inserted"))
+    return kept.withColumn("ids", F.concat_ws("/", "pid", "partner")).select(form.alias("line"))
