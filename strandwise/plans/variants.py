@@ -173,13 +173,13 @@ def j12_copy_number(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def j13_cohort(spark: SparkSession, folder: str) -> DataFrame:
-    """Variants of one cohort (even clusters) against those of another (odd ones, in groups): S with group and cluster for each of an equal type, and of a size less than 10 different where one range is compared, that shares a position; D if there is none."""
-    w = _windows(_variants(spark, folder)).withColumns({"single": F.expr(f"event in {_SPAN_EVENTS}")})
+    """Variants of one cohort (even clusters) against those of another (odd ones, in groups): S with group and cluster for each of an equal type, and of a size less than 10 different but for translocations, that shares a position; D if there is none."""
+    w = _windows(_variants(spark, folder)).withColumn("sized", F.col("event") != "transl_inter")
     # Equal sizes meet in buckets of 10, so that ranges that overlap by their length alone make no pairs.
     bucket = F.expr(f"size div {SIZE_TOLERANCE}")
-    mine = w.where("pid % 2 = 0").withColumn("bucket", F.explode(F.when(F.col("single"), F.array(bucket - 1, bucket, bucket + 1)).otherwise(F.array(F.lit(0).cast("long")))))
-    other = w.where("pid % 2 = 1").select(F.col("wchrom").alias("o_chrom"), F.col("event").alias("o_event"), F.when(F.col("single"), bucket).otherwise(0).cast("long").alias("o_bucket"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("size").alias("o_size"), F.col("pid").alias("other"), F.col("partner").alias("other_partner"))
-    hits = overlap_join(mine, other, [("wchrom", "o_chrom"), ("event", "o_event"), ("bucket", "o_bucket")], ("lo", "hi"), ("o_lo", "o_hi")).where(f"not single or abs(size - o_size) < {SIZE_TOLERANCE}")
+    mine = w.where("pid % 2 = 0").withColumn("bucket", F.explode(F.when(F.col("sized"), F.array(bucket - 1, bucket, bucket + 1)).otherwise(F.array(F.lit(0).cast("long")))))
+    other = w.where("pid % 2 = 1").select(F.col("wchrom").alias("o_chrom"), F.col("event").alias("o_event"), F.when(F.col("sized"), bucket).otherwise(0).cast("long").alias("o_bucket"), F.col("lo").alias("o_lo"), F.col("hi").alias("o_hi"), F.col("size").alias("o_size"), F.col("pid").alias("other"), F.col("partner").alias("other_partner"))
+    hits = overlap_join(mine, other, [("wchrom", "o_chrom"), ("event", "o_event"), ("bucket", "o_bucket")], ("lo", "hi"), ("o_lo", "o_hi")).where(f"not sized or abs(size - o_size) < {SIZE_TOLERANCE}")
     id_ = ["pid", "partner", "rule", "event", "start", "end"]
     hits = hits.select(*id_, "other", "other_partner").distinct()
     mine = w.where("pid % 2 = 0").select(*id_).distinct()
@@ -237,7 +237,7 @@ select pid, partner, event, start, "end", de as element, ie as inserted_element,
 , n as (select pid, partner, rule, event, chrom, mate_chrom, start, "end", mate_start, mate_end, count(*) as n, array_to_string(list_sort(list(rname)), '/') as names from h group by all)
 select n.pid, n.partner, n.rule, n.event, n.start, n."end", n.n, n.names from n join ok on ok.pid = n.pid and ok.partner is not distinct from n.partner and ok.rule = n.rule and ok.event = n.event and ok.chrom = n.chrom and ok.mate_chrom = n.mate_chrom and ok.start = n.start and ok."end" = n."end" and ok.mate_start is not distinct from n.mate_start and ok.mate_end is not distinct from n.mate_end
 where n.n <= 3 and every""",
-    "j13_cohort": f"""{_VARIANTS}, {_WINDOWS}, h as (select distinct a.pid, a.partner, a.rule, a.event, a.start, a."end", b.pid as other, b.partner as other_partner from w a join w b on a.pid % 2 = 0 and b.pid % 2 = 1 and a.event = b.event and a.wchrom = b.wchrom and a.lo <= b.hi and b.lo <= a.hi and (a.event not in {_SPAN_EVENTS} or abs(a.size - b.size) < 10))
+    "j13_cohort": f"""{_VARIANTS}, {_WINDOWS}, h as (select distinct a.pid, a.partner, a.rule, a.event, a.start, a."end", b.pid as other, b.partner as other_partner from w a join w b on a.pid % 2 = 0 and b.pid % 2 = 1 and a.event = b.event and a.wchrom = b.wchrom and a.lo <= b.hi and b.lo <= a.hi and (a.event = 'transl_inter' or abs(a.size - b.size) < 10))
 select 'S' as label, pid, partner, rule, event, start, "end", other % 4 as group_id, other, other_partner from h
 union all select 'D', pid, partner, rule, event, start, "end", null, null, null from (select distinct pid, partner, rule, event, start, "end" from v where pid % 2 = 0) a where not exists (select 1 from h where h.pid = a.pid and h.partner is not distinct from a.partner and h.rule = a.rule and h.event = a.event and h.start = a.start and h."end" = a."end")""",
 }
