@@ -125,9 +125,13 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = index >> depth
         code = ((np.int64(1) << depth) | (index & ((np.int64(1) << depth) - 1))).astype(np.int32)
         entity, _ = group_ids(keys) if keys else (np.zeros(batch.num_rows, np.int64), None)
-        whole = np.stack([entity[row], tier, cell])
-        _, first, group = np.unique(whole, axis=1, return_index=True, return_inverse=True)
-        group, code = canonical(group.reshape(-1).astype(np.int64), code)
+        own = entity[row]
+        order = np.lexsort((cell, tier, own))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(own[order]) != 0) | (np.diff(tier[order]) != 0) | (np.diff(cell[order]) != 0)
+        first, group = order[new], np.empty(len(order), np.int64)
+        group[order] = np.cumsum(new) - 1
+        group, code = canonical(group, code)
         taken = [k.take(pa.array(row[first])) for k in keys] + [pa.array(tier[first].astype(np.int32)), pa.array(cell[first])]
         yield _chunks(taken, [*names, "tier", "cell", "codes"], group, code, np.arange(len(first)))
 
