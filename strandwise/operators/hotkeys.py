@@ -45,9 +45,9 @@ def _located(hist: DataFrame, wanted: DataFrame, k: list[str]) -> DataFrame:
     return null_safe_join(run, wanted, k).where("rank <= upto and rank > upto - n").select(*k, "q", "bucket", (F.col("rank") - (F.col("upto") - F.col("n"))).alias("rank"))
 
 
-def selected_quantiles(base: DataFrame, k: list[str], percents: Sequence[int], step_bits: int = STEP_BITS) -> tuple[DataFrame, DataFrame]:
-    """`base` has `k` and a long `value`. Returns the first histogram (k.., bucket, n, nulls in bucket null), and k.., q, value."""
-    low, high = base.agg(F.min("value"), F.max("value")).first()
+def selected_quantiles(base: DataFrame, k: list[str], percents: Sequence[int], step_bits: int = STEP_BITS, bounds: tuple[int | None, int | None] | None = None) -> tuple[DataFrame, DataFrame]:
+    """`base` has `k` and a long `value`; `bounds`, the least and largest value, are looked up if they are not given. Returns the first histogram (k.., bucket, n, nulls in bucket null), and k.., q, value."""
+    low, high = bounds or base.agg(F.min("value"), F.max("value")).first()
     shifts = _shifts(low, high, step_bits)
     shifted = lambda bits: F.shiftright("value", bits)
     first = checkpointed(base.groupBy(*k, shifted(shifts[0]).alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
@@ -75,14 +75,16 @@ def key_profile(df: DataFrame, keys: Sequence[str], value: Column, item: Column,
     """
     k = [f"k{i}" for i in range(len(keys))]
     base = df.select(*[F.col(f"`{x}`").alias(y) for x, y in zip(keys, k, strict=True)], value.cast("long").alias("value"), item.alias("item"))
-    first, quantiles = selected_quantiles(base.drop("item"), k, percents, step_bits)
-    points = [f"p{q}" for q in percents]
+    # Sums and extremes come from the pass that gives the width of the values, counts from the first histogram.
+    sums = checkpointed(base.groupBy(*k).agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value")))
+    bounds = tuple(sums.agg(F.min("min_value"), F.max("max_value")).first())
+    first, quantiles = selected_quantiles(base.drop("item"), k, percents, step_bits, bounds)
     counts = first.groupBy(*k).agg(F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.col("n"))), F.lit(0)).alias("n_values"))
+    points = [f"p{q}" for q in percents]
     items = base.where("item is not null").select(*k, "item").distinct().groupBy(*k).agg(F.count(F.lit(1)).alias("n_items"))
-    sums = base.groupBy(*k).agg(F.sum(F.col("value").cast("decimal(20,0)")).alias("sum_value"), F.min("value").alias("min_value"), F.max("value").alias("max_value"))
     marks = quantiles.groupBy(*k).agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"p{q}") for q in percents])
     parts = None
-    for part in (counts, items, sums, marks):
+    for part in (counts, sums, items, marks):
         parts = part if parts is None else parts.unionByName(part, allowMissingColumns=True)
     merged = parts.groupBy(*k).agg(*[F.max(c).alias(c) for c in ("n_rows", "n_items", "n_values", "sum_value", "min_value", "max_value", *points)])
     return merged.select(*[F.col(x).alias(y) for x, y in zip(k, keys, strict=True)], "n_rows", F.coalesce("n_items", F.lit(0)).alias("n_items"), "n_values", "sum_value", "min_value", "max_value", *points)
