@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strandwise.functions.sequence import alternative_hits, cigar_ops, reverse_complement, split_drop_empty, split_keep_empty
+from strandwise.arrowgroups import run_starts
+from strandwise.functions.sequence import alternative_hits, cigar_ops, plain_bases, reverse_complement, split_drop_empty, split_keep_empty, trim_length
+from strandwise.operators.carry import running
 
 # Classes of annotated repeats that go to the table of mobile elements and to that of simple repeats.
 MOBILE = ("LINE", "SINE", "LTR", "DNA", "Other")
@@ -30,11 +32,29 @@ def tsv(spark: SparkSession, path: str | Sequence[str], columns: Sequence[tuple[
     return parts.select(*[F.expr(f"try_cast(get(f, {i}) as {kind})").alias(name) for i, name, kind in columns])
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """file, block, line -> the same with `at`, the place of the line in its block; the lines of a block come in one run."""
+    here, done = None, 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        starts = run_starts(batch.columns[:2])
+        at = np.arange(batch.num_rows)
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = batch.column(0)[a].as_py(), batch.column(1)[a].as_py()
+            since = done if key == here else 0
+            at[a:b] += since - a
+            here, done = key, since + b - a
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], [*batch.schema.names, "at"])
+
+
 def numbered_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """file, line_no (from 0 in its file), line: for the small files whose lines depend on those before; each file is one split."""
-    texts = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True).select(F.input_file_name().alias("file"), "value")
-    rows = texts.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
-    return rows
+    """file, line_no (from 0 in its file), line. Files are read in blocks, by as many tasks as they have; a line's number is its place in its block after the lines of the blocks before."""
+    lines = spark.read.text(path if isinstance(path, str) else list(path)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    placed = lines.mapInArrow(_numbered, "file string, block long, line string, at long")
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))  # one row a block
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n")).select("file", "block", F.coalesce(before, F.lit(0)).alias("before"))
+    return placed.join(blocks, ["file", "block"]).select("file", (F.col("before") + F.col("at")).alias("line_no"), "line")
 
 
 def isinfo(spark: SparkSession, path: str, k: float = 3.0) -> DataFrame:
@@ -86,8 +106,10 @@ def virus_names(spark: SparkSession, path: str) -> DataFrame:
 def sectioned_intervals(spark: SparkSession, path: str) -> DataFrame:
     """`key: NAME CHROM` opens a section; each `start end` line below is an interval of it."""
     lines = numbered_lines(spark, path)
-    head = F.when(F.col("line").startswith("key:"), F.col("line"))
-    carried = lines.withColumn("head", F.last(head, True).over(Window.partitionBy("file").orderBy("line_no")))
+    # The number of the last header is carried, not its text, and its text is looked up.
+    numbered = running(lines.withColumn("own", F.when(F.col("line").startswith("key:"), F.col("line_no"))), ["file"], "line_no", "own", "head_no").drop("own")
+    heads = lines.where(F.col("line").startswith("key:")).select("file", F.col("line_no").alias("head_no"), F.col("line").alias("head"))
+    carried = numbered.join(heads, ["file", "head_no"])
     f, h = F.split(F.trim("line"), r"\s+"), F.split(F.trim(F.substring("head", 5, 1_000_000)), r"\s+")
     rows = carried.where("head is not null and not startswith(line, 'key:')")
     return rows.select(h[0].alias("name"), F.get(h, F.lit(1)).alias("chrom"), F.expr("try_cast(split(trim(line), '\\\\s+')[0] as long)").alias("start"), f.alias("f")).select("name", "chrom", "start", F.expr("try_cast(get(f, 1) as long)").alias("stop")).where("start is not null and stop is not null")
@@ -147,19 +169,20 @@ def sam(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return rows.withColumns({"paired": bit(1), "mapped": ~bit(4), "mate_mapped": ~bit(8), "reverse": bit(16), "mate_reverse": bit(32), "first": bit(64), "secondary": bit(256), "qc_fail": bit(512), "duplicate": bit(1024), "hits": alternative_hits(F.col("tags")["XA"])})
 
 
-def fastq(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """name, seq, qual of four-line records. A file is read by one task, as records have no mark of their own; give many files."""
-    lines = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
-
-    def records(batches):
-        for batch in batches:
-            rows = []
-            for text in batch["value"]:
-                parts = text.split("\n")
-                rows += [(parts[i][1:].rstrip("\r"), parts[i + 1].rstrip("\r"), parts[i + 3].rstrip("\r")) for i in range(0, len(parts) - 3, 4) if parts[i].startswith("@")]
-            yield pd.DataFrame(rows, columns=["name", "seq", "qual"])
+def fastq(spark: SparkSession, path: str | Sequence[str], good: int | None = None, plain: bool = False) -> DataFrame:
+    """name, seq, qual of four-line records; records are put together by the numbers of their lines, so a large file is read by many tasks.
 
-    return lines.mapInPandas(records, T.StructType([T.StructField(c, T.StringType()) for c in ("name", "seq", "qual")]))
+    `good` trims the end down to that quality, `plain` makes N of all that is no
+    base. What is left over at the end of a file is no record.
+    """
+    lines = numbered_lines(spark, path).withColumns({"record": F.expr("line_no div 4"), "part": F.col("line_no") % 4})
+    part = lambda i: F.max(F.when(F.col("part") == i, F.col("line")))
+    records = lines.groupBy("file", "record").agg(part(0).alias("head"), part(1).alias("seq"), part(3).alias("qual")).where("startswith(head, '@') and qual is not null")
+    rows = records.select(F.substring("head", 2, 1_000_000).alias("name"), plain_bases("seq").alias("seq") if plain else "seq", "qual")
+    if good is None:
+        return rows
+    left = trim_length("qual", good)
+    return rows.withColumn("left", left).select("name", F.substr("seq", F.lit(1), F.col("left")).alias("seq"), F.substr("qual", F.lit(1), F.col("left")).alias("qual"))
 
 
 def fasta(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -183,3 +206,25 @@ def fetch_ranges(ranges: DataFrame, chunks: DataFrame, id: str, size: int = 65_5
     piece = F.substr("seq", low.cast("int"), (F.least(F.col("b") - F.col("chunk") * size, F.lit(size)) - low + 1).cast("int"))
     whole = parts.groupBy("id", "back").agg(F.array_sort(F.collect_list(F.struct("chunk", piece.alias("p")))).alias("x")).withColumn("s", F.array_join(F.col("x.p"), ""))
     return whole.select(F.col("id").alias(id), F.when(F.col("back"), reverse_complement("s")).otherwise(F.col("s")).alias("fetched"))
+
+
+def read_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """Read group and read length, tab-separated."""
+    return tsv(spark, path, [(0, "rg", "string"), (1, "read_length", "long")]).where("rg is not null")
+
+
+def listed_files(spark: SparkSession, listing: str) -> list[tuple[str, str]]:
+    """Paths and group ids of a list of files, one a line, with the group after a tab or else the path itself; paths beside the list may be relative. The list is read on the driver, as it names what is to be read."""
+    base = listing.rsplit("/", 1)[0]
+    rows = [r.value.split("\t") for r in spark.read.text(listing).where("trim(value) <> ''").collect()]
+    return [(x[0] if x[0].startswith("/") or "://" in x[0] else f"{base}/{x[0]}", x[1] if len(x) > 1 else x[0]) for x in rows]
+
+
+def cohort(spark: SparkSession, listing: str, columns: Sequence[tuple[int, str, str]]) -> DataFrame:
+    """The lines of all listed files as columns (index, name, type), each with the `group_id` of its file."""
+    files = listed_files(spark, listing)
+    parts = [tsv(spark, path, columns).withColumn("group_id", F.lit(group)) for path, group in files]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -1,3 +1,9 @@
+import random
+
+import pytest
+
+from strandwise.runtime import checkpointed
+from strandwise.sources.text_tables import cohort, fastq, numbered_lines
 import gzip
 
 from strandwise.sources import sinks, text_tables as t
@@ -74,3 +80,50 @@ def test_sinks(spark, tmp_path):
     assert rows(sinks.discord_bed(bed)) == [("1", 0, 1500, "1", 19000, 21000, 1, 0, "+", "-")]
     events = spark.createDataFrame([(1, 2, "del", "1", 5, 9), (1, 3, "del", "1", 0, 9)], "pid int, partner int, event string, chrom string, start long, `end` long")
     assert rows(sinks.event_lines(events)) == [("del\t1/2\t1\t5\t9\t4",)]
+
+
+def test_large_files_are_numbered_in_blocks(spark, tmp_path):
+    rnd = random.Random(1)
+    files = {}
+    for name, n in (("a.fq", 500), ("b.fq", 3)):
+        files[name] = [(f"r{i}", "".join(rnd.choice("ACGTn") for _ in range(rnd.randrange(1, 40)))) for i in range(n)]
+        (tmp_path / name).write_text("".join(f"@{i}\n{s}\n+\n{'@' * len(s)}\n" for i, s in files[name]) + ("@left over\nAC\n" if name == "b.fq" else ""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        lines = numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 3
+        by = {}
+        for r in lines.collect():
+            by.setdefault(r.file.rsplit("/", 1)[1], {})[r.line_no] = r.line
+        assert all([by[name][i] for i in sorted(by[name])] == (tmp_path / name).read_text().splitlines() for name in files)
+        got = sorted(map(tuple, fastq(spark, str(tmp_path)).collect()))
+        assert got == sorted((i, s, "@" * len(s)) for own in files.values() for i, s in own)
+        assert "n" not in "".join(r.seq for r in fastq(spark, str(tmp_path), plain=True).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_files_of_a_cohort(spark, tmp_path):
+    (tmp_path / "x.tsv").write_text("del\t5\n")
+    (tmp_path / "y.tsv").write_text("del\t7\ninv\t9\n")
+    (tmp_path / "list.txt").write_text("x.tsv\tone\ny.tsv\n")
+    got = cohort(spark, str(tmp_path / "list.txt"), [(0, "event", "string"), (1, "at", "long")]).collect()
+    assert sorted(map(tuple, got)) == [("del", 5, "one"), ("del", 7, "y.tsv"), ("inv", 9, "y.tsv")]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Frame:
+        class sparkSession:
+            sparkContext = Context()
+
+            class conf:
+                get = staticmethod(lambda *_: None)
+
+    with pytest.raises(ValueError):
+        checkpointed(Frame())
