@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast once it has been counted.
 BROADCAST_ROWS = 200_000
+#: Bytes of text up to which it may be, as its rows can be of any length.
+BROADCAST_BYTES = 64 << 20
 
 
 def local_session(cores: str = "8", app: str = "strandwise", **conf: str) -> SparkSession:
@@ -45,6 +47,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, which must be materialised, with a broadcast hint if it has at most `limit` rows."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df`, which must be materialised, with a broadcast hint if it has at most `limit` rows, written as text in at most `most_bytes`."""
+    n, size = df.limit(limit + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return F.broadcast(df) if n <= limit and size <= most_bytes else df
