@@ -205,3 +205,13 @@ def choose_hit(hits: Column, first: Column, mate_pos: Column, apart: Column, lef
         return F.when(a.done, a).otherwise(F.struct(F.when(exact | left | right, h).otherwise(a.at).alias("at"), exact.alias("done")))
 
     return F.aggregate(hits, zero, step, lambda a: a.at)
+
+
+def around_longest_match(ops: Column) -> Column:
+    """The first longest match of a CIGAR: its length, and how many bases of the read stand before and after it; null without one."""
+    most = longest_match(ops)
+    bases = lambda o: F.when(o.op.isin("D", "N", "H", "P"), 0).otherwise(o.len)
+    at = F.array_position(F.transform(ops, lambda o: (o.op == "M") & (o.len == most)), True).cast("int")
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda t, o: t + bases(o))
+    before, after = F.slice(ops, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(ops, at + 1, F.size(ops))
+    return F.when(at > 0, F.struct(most.alias("len"), total(before).alias("before"), total(after).alias("after")))

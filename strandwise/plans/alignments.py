@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions import sequence as q
+from strandwise.plans.discordance import ENCODINGS
 from strandwise.plans.records import MEMBERS_SQL, PAIRS_SQL, members, pairs
 from strandwise.plans.tables import table
 from strandwise.sources.text_tables import fetch_ranges, reference_chunks
@@ -269,6 +270,59 @@ def x26_tails(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("id", F.char_length(q.without_poly_tail("seq", "T")).alias("without_t"), F.char_length(q.without_poly_tail(F.reverse("seq"), "A")).alias("without_a"))
 
 
+def f7_eligible(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that count for coverage, by chromosome: mapped, primary, no quality failure, no duplicate, by the bits of their flags."""
+    rows = alignments(spark, folder)
+    flag = F.lit(1)
+    for bit, test in ((4, ~F.col("mapped")), (256, F.col("id") % 10 == 0), (512, F.coalesce(F.col("nm") > 12, F.lit(False))), (1024, F.col("id") % 17 == 0)):
+        flag = F.when(test, q.set_flag(flag, bit)).otherwise(flag)
+    return rows.withColumn("flag", flag).where(F.col("flag").bitwiseAND(F.lit(4 + 256 + 512 + 1024)) == 0).groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+
+
+def f12_anchored(spark: SparkSession, folder: str) -> DataFrame:
+    """which mapped records have any mapping quality and a tag, if there is one, that says unique; and which pairs have a quality of 20 or more on both sides. Qualities come out of mismatches."""
+    quality = lambda nm: F.greatest(F.lit(0), 60 - 10 * F.coalesce(nm, F.lit(6)))
+    tag = F.when(F.col("id") % 4 != 0, F.when(F.col("nm") <= 2, "U").otherwise("R"))
+    rows = alignments(spark, folder).where("mapped").withColumns({"own": quality("nm"), "mate": quality("mate_nm"), "tag": tag})
+    anchored = (F.col("own") > 0) & (F.col("tag").isNull() | F.contains("tag", F.lit("U")))
+    return rows.select("id", anchored.alias("anchored"), (F.least("own", "mate") >= 20).alias("both_good"))
+
+
+def j2_numbered(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest record of a read's first mate with the records of its second, which are numbered from m1 to m19."""
+    rows = alignments(spark, folder)
+    one = rows.where("mate_no = 1").groupBy("name").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("id"))
+    two = rows.where("mate_no = 2").select("name", F.col("id").alias("mate_id"), F.row_number().over(Window.partitionBy("name").orderBy("id")).alias("no")).where("no <= 19")
+    return one.join(two, "name").select(F.concat("name", F.lit(":m"), "no").alias("key"), "id", "mate_id")
+
+
+def j3_representative(spark: SparkSession, folder: str) -> DataFrame:
+    """The kinds of a read's records with no more mismatches than its longest one, in order; the wildcard, where it is among them, stands alone."""
+    rows = alignments(spark, folder).where("nm is not null")
+    kind = F.when(F.col("nm") == 0, "POLYA").when(F.col("nm") % 2 == 1, "LINE").otherwise("SINE")
+    primary = rows.groupBy("name").agg(F.min_by("nm", F.struct(-F.col("len"), F.col("id"))).alias("most"))
+    # Of a hot read one row a number of mismatches is left before it meets its primary record.
+    kinds = rows.groupBy("name", "nm").agg(F.first(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
+    kept = kinds.join(primary, "name").where("nm <= most").groupBy("name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.sum("n").alias("n"))
+    return kept.select("name", F.when(F.array_contains("kinds", "POLYA"), "POLYA").otherwise(F.array_join("kinds", ",")).alias("kinds"), "n")
+
+
+def x20_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each read the record whose CIGAR has the longest match, the first of equals, with the bases before and after it."""
+    cigar = F.concat("front", F.lit("S"), "len", F.lit("M2D"), (F.col("front") + 1).cast("string"), F.lit("I120M"), "back", F.lit("S"))
+    rows = alignments(spark, folder).withColumn("m", q.around_longest_match(q.cigar_ops(cigar)))
+    best = rows.groupBy("name").agg(F.min(F.struct((-F.col("m.len")).alias("k"), "id", F.col("m.before").alias("before"), F.col("m.after").alias("after"))).alias("x"))
+    return best.select("name", "x.id", (-F.col("x.k")).alias("len"), "x.before", "x.after")
+
+
+def a2_first_stat(spark: SparkSession, folder: str) -> DataFrame:
+    """The scalar lines of a file's first statistics: records, unmapped, clipped, longest, and the place of the quality encoding in the table of those that hold all codes, the nearest by both ends."""
+    rows = alignments(spark, folder).withColumn("codes", q.quality_codes("qual", 0))
+    one = rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("mapped")).alias("unmapped"), F.count_if(F.greatest("front", "back") >= BIG).alias("clipped"), F.max("n").alias("max_read_len"), F.min(F.array_min("codes")).alias("low"), F.max(F.array_max("codes")).alias("high"))
+    fits = F.array(*[F.when((F.col("low") >= a) & (F.col("high") <= b), F.struct((F.abs(F.col("low") - a) + F.abs(F.col("high") - b)).alias("d"), F.lit(i).alias("i"))) for i, (_, a, b) in enumerate(ENCODINGS)])
+    return one.withColumn("encoding", F.coalesce(F.array_min(F.filter(fits, lambda x: x.isNotNull())).getField("i"), F.lit(0))).drop("low", "high")
+
+
 def _pieces(seq: str, front: str, length: str, back: str, reverse: str) -> str:
     return f"list_transform(list_filter([substr({seq}, 1, {front}), substr({seq}, {front} + 1, {length}), substr({seq}, {front} + {length} + 1, {back})], lambda x: len(x) >= {SEGMENT}), lambda x: case when {reverse} then translate(reverse(x), 'ACGT', 'TGCA') else x end)"
 
@@ -318,6 +372,15 @@ select cluster_id, m.chrom || '~' || m.mate_chrom as own, coalesce(a.n, b.n) as
 select cluster_id, strand, no, pos, name from (select *, cast(row_number() over (partition by cluster_id, strand order by d, pos, name) as int) as no from d) where no <= 2""",
     "r4_region_sequence": f"""with b as (select doc_id, translate(regexp_replace(text, '[^ACGTacgt]', 'N', 'g'), 'acgt', 'ACGT') as s from documents where text is not null and text <> '')
 select doc_id, case when length(s) <= 120 then s else substr(s, 1, 60) || repeat('N', 100) || case when doc_id % 2 = 1 then {_RC.format('right(s, 60)')} else right(s, 60) end end as seq from b""",
+    "f7_eligible": f"{_A} select chrom, count(*) as n, min(id) as first from aln where mapped and id % 10 <> 0 and coalesce(nm, 0) <= 12 and id % 17 <> 0 group by chrom",
+    "f12_anchored": f"{_A} select id, coalesce(nm, 6) < 6 and (id % 4 = 0 or coalesce(nm <= 2, false)) as anchored, greatest(coalesce(nm, 6), coalesce(mate_nm, 6)) <= 4 as both_good from aln where mapped",
+    "j2_numbered": f"{_A}, o as (select name, arg_min(id, (-n, id)) as id from aln where mate_no = 1 group by name), t as (select name, id as mate_id, row_number() over (partition by name order by id) as no from aln where mate_no = 2) select name || ':m' || no as key, id, mate_id from o join t using (name) where no <= 19",
+    "j3_representative": f"""{_A}, k as (select name, nm, first_value(nm) over (partition by name order by len desc, id) as most from aln where nm is not null), f as (select name, case when nm = 0 then 'POLYA' when nm % 2 = 1 then 'LINE' else 'SINE' end as kind from k where nm <= most)
+select name, case when bool_or(kind = 'POLYA') then 'POLYA' else array_to_string(list_sort(list(distinct kind)), ',') end as kinds, count(*) as n from f group by name""",
+    "x20_matches": f"""{_A}, m as (select name, id, greatest(len, 120) as l, case when len >= 120 then front else front + len + front + 1 end as before, case when len >= 120 then front + 1 + 120 + back else back end as after from aln), r as (select *, row_number() over (partition by name order by l desc, id) as no from m)
+select name, id, cast(l as int) as len, cast(before as int) as before, cast(after as int) as after from r where no = 1""",
+    "a2_first_stat": f"""{_A}, c as (select min(ascii(substr(qual, i, 1))) as low, max(ascii(substr(qual, i, 1))) as high from aln, range(1, 400) as t(i) where i <= n)
+select count(*) as total, count(*) filter (not mapped) as unmapped, count(*) filter (greatest(front, back) >= 10) as clipped, max(n) as max_read_len, (select case when low >= 33 and high <= 73 then 0 when low >= 59 and high <= 104 then 1 else 0 end from c) as encoding from aln""",
     "r5_chosen": f"""{_A}, h0 as (select id, pos % 1000 as a0, mate_pos % 1000 as mp, [(pos * i + mate_pos) % 1000 for i in [1, 2, 3, 4]] as h from aln where mapped and mate_mapped)
 , h1 as (select *, abs(abs(h[1] - mp) - 131) < 2 as e1, abs(abs(h[2] - mp) - 131) < 2 as e2, abs(abs(h[3] - mp) - 131) < 2 as e3, abs(abs(h[4] - mp) - 131) < 2 as e4 from h0)
 , s1 as (select *, case when e1 or (a0 < 400 and h[1] < 400 and abs(h[1] - 350) < abs(a0 - 350)) or (a0 > 500 and h[1] > 500 and abs(h[1] - 900) < abs(a0 - 900)) then h[1] else a0 end as a1 from h1)
@@ -329,4 +392,4 @@ select id, at_ as "at", case when at_ % 2 = 1 then 81 else 65 end as flag from s
 select id, cast(case when length(a) - length(rtrim(a, 'T')) >= 5 then length(rtrim(a, 'T')) else length(a) end as int) as without_t, cast(case when length(b) - length(rtrim(b, 'A')) >= 5 then length(rtrim(b, 'A')) else length(b) end as int) as without_a from t""",
 }
 
-QUERIES = {f.__name__: f for f in (f5_extracted, f8_unmapped, f9_clipped_reads, f11_low_ends, f14_unique, x14_quality, x15_split, r9_tagged, r1_fastq, r8_fragments, r2_segments, x17_soft, w5_couples, k1_sam_lines, j20_sequences, j23_numbered, j24_either_way, a19_across_files, o8_first_by_key, o10_two_nearest, r4_region_sequence, r5_chosen, x26_tails)}
+QUERIES = {f.__name__: f for f in (f5_extracted, f8_unmapped, f9_clipped_reads, f11_low_ends, f14_unique, x14_quality, x15_split, r9_tagged, r1_fastq, r8_fragments, r2_segments, x17_soft, w5_couples, k1_sam_lines, j20_sequences, j23_numbered, j24_either_way, a19_across_files, o8_first_by_key, o10_two_nearest, r4_region_sequence, r5_chosen, x26_tails, f7_eligible, f12_anchored, j2_numbered, j3_representative, x20_matches, a2_first_stat)}
