@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from strandwise.llm.top_n import distinct_items, top_n
+from strandwise.llm.top_n import distinct_by_digest, distinct_items, top_n
 
 
 def rows_of(seed, n=600):
@@ -46,3 +46,15 @@ def test_copies_empty_and_names(spark):
     assert top_n(clash, ["name"], [("id", "asc")], 2, only_larger=True).columns == ["name", "group_size", "id", "rank_no"]
     with pytest.raises(ValueError):
         top_n(df.withColumnRenamed("x", "RANK_NO"), ["name"], [("id", "asc")], 2)
+
+
+def test_copies_by_digest_are_copies(spark):
+    """Nulls are values of their own, wherever they stand; ties and repeated rows fold; names may clash."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice(("a", "b", None)), rnd.choice((1, None)), rnd.choice((5, None)), rnd.choice((5, None)), rnd.choice(("x", "", None)), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, nm long, digest_1 long, u long, v string, id long").repartition(5)
+    want = {(r.name, r.nm, r.id) for r in distinct_items(df, ["name", "nm", "digest_1", "u", "v"], "id").collect()}
+    got = [tuple(r) for r in distinct_by_digest(df, ["name", "nm"], ["digest_1", "u", "v"], "id").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert {tuple(r) for r in distinct_by_digest(df, ["name"], [], "id").collect()} == {(n, min(r[5] for r in rows if r[0] == n)) for n in ("a", "b", None)}
+    assert distinct_by_digest(df.where("id < 0"), ["name"], ["u"], "id").count() == 0
