@@ -139,6 +139,26 @@ def e17_mechanism(spark: SparkSession, folder: str) -> DataFrame:
     return met.select("pid", "partner", "event", "start", "end", F.col("d_element").alias("element"), F.col("i_element").alias("inserted_element"), F.expr(mechanism("event", "homology", "inserted", "d_element", "i_element", "coalesce(d_simple, false)", "coalesce(i_simple, false)")).alias("mechanism"))
 
 
+def e18_annotation(spark: SparkSession, folder: str) -> DataFrame:
+    """What stands at both ends of an event, and at both ends of what it inserts, as `BP:x_y` or `BP:x_y_z_w`: SR in a simple repeat, else TE in a mobile element, else nothing."""
+    v = _variants(spark, folder)
+    ends = [("chrom", "start"), ("mate_chrom", "end"), ("mate_chrom", "mate_start"), ("mate_chrom", "mate_end")]
+    points = None
+    for c, p in ends:
+        part = v.where(F.col(p).isNotNull()).select(F.col(c).alias("pchrom"), F.col(p).alias("at"))
+        points = part if points is None else points.unionByName(part)
+    points = points.distinct().withColumn("id", F.struct("pchrom", "at"))
+    r = repeats(spark, folder).withColumnsRenamed({"chrom": "rchrom", "s": "rs", "e": "re"})
+    points = exists_overlap(points, r.where("rclass in ('SIMPLE_REPEAT', 'SATELLITE', 'LOW_COMPLEXITY')"), "id", [("pchrom", "rchrom")], ("at", "at"), ("rs", "re"), "sr")
+    points = exists_overlap(points, r.where("rclass in ('LINE', 'SINE', 'LTR', 'DNA')"), "id", [("pchrom", "rchrom")], ("at", "at"), ("rs", "re"), "te")
+    named = checkpointed(points.select("pchrom", "at", F.when(F.col("sr"), "SR").when(F.col("te"), "TE").otherwise("").alias("part")))
+    for i, (c, p) in enumerate(ends):
+        side = named.withColumnsRenamed({"pchrom": f"c{i}", "at": f"at{i}", "part": f"part{i}"})
+        v = v.join(side, (F.col(c) == F.col(f"c{i}")) & (F.col(p) == F.col(f"at{i}")), "left").drop(f"c{i}", f"at{i}")
+    kind = F.concat(F.lit("BP:"), F.concat_ws("_", *[f"part{i}" for i in range(4)]))
+    return v.select("pid", "partner", "rule", "event", "chrom", "mate_chrom", "start", "end", kind.alias("kind"))
+
+
 _SPAN_EVENTS = "('del', 'del_ins', 'invers', 'invers_f', 'invers_r', 'tandem_dup')"
 
 
@@ -231,6 +251,9 @@ select pid, partner, event, start, "end", de as element, ie as inserted_element,
   when event like 'del\\_ins%' escape '\\' then case when de is not null and ie is not null then 'TEA' when ie is not null then 'TEI' when dv and iv then 'VNTR' when inserted < 11 then 'NHEJ' else 'NA' end
   when event like 'ins%' then case when ie is not null then 'TEI' when iv then 'VNTR' else 'NA' end
   when event = 'del_invers' then 'FoSTeS' when event = 'tandem_dup' and dv then 'VNTR' else 'NA' end as mechanism from m""",
+    "e18_annotation": f"""{_VARIANTS}, {REPEATS_SQL}, pt as (select chrom as c, start as at_ from v union select mate_chrom, "end" from v union select mate_chrom, mate_start from v where mate_start is not null union select mate_chrom, mate_end from v where mate_end is not null)
+, k as (select pt.c, pt.at_, case when bool_or(rclass in ('SIMPLE_REPEAT', 'SATELLITE', 'LOW_COMPLEXITY')) then 'SR' when bool_or(rclass in ('LINE', 'SINE', 'LTR', 'DNA')) then 'TE' else '' end as part from pt left join reps r on r.chrom = pt.c and pt.at_ between r.s and r.e group by pt.c, pt.at_)
+select pid, partner, rule, event, chrom, mate_chrom, start, "end", 'BP:' || a.part || '_' || b.part || coalesce('_' || x.part || '_' || y.part, '') as kind from v join k a on a.c = chrom and a.at_ = start join k b on b.c = mate_chrom and b.at_ = "end" left join k x on x.c = mate_chrom and x.at_ = mate_start left join k y on y.c = mate_chrom and y.at_ = mate_end""",
     "j12_copy_number": f"""{_VARIANTS}, {_WINDOWS}, {REPEATS_SQL}, g as (select distinct chrom as rchrom, s, e, rname from reps where rname is not null and chrom is not null)
 , ok as (select pid, partner, rule, event, chrom, mate_chrom, start, "end", mate_start, mate_end, bool_and(wchrom in (select rchrom from g)) as every from w group by all)
 , h as (select distinct w.pid, w.partner, w.rule, w.event, w.chrom, w.mate_chrom, w.start, w."end", w.mate_start, w.mate_end, rchrom, s, e, rname from w join g on g.rchrom = w.wchrom and g.s <= w.hi and g.e >= w.lo)
@@ -242,4 +265,4 @@ select 'S' as label, pid, partner, rule, event, start, "end", other % 4 as group
 union all select 'D', pid, partner, rule, event, start, "end", null, null, null from (select distinct pid, partner, rule, event, start, "end" from v where pid % 2 = 0) a where not exists (select 1 from h where h.pid = a.pid and h.partner is not distinct from a.partner and h.rule = a.rule and h.event = a.event and h.start = a.start and h."end" = a."end")""",
 }
 
-QUERIES = {f.__name__: f for f in (j9_two_rankings, e6_inter, e14_inter_demoted, a24_filtered, e17_mechanism, j12_copy_number, j13_cohort)}
+QUERIES = {f.__name__: f for f in (j9_two_rankings, e6_inter, e14_inter_demoted, a24_filtered, e17_mechanism, e18_annotation, j12_copy_number, j13_cohort)}
