@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -14,12 +15,18 @@ from strandwise.operators.gap_clusters import gap_clusters
 
 
 class Assigner:
-    """The open clusters of one chromosome, fed in order of start."""
+    """The open clusters of one chromosome, fed in order of start.
+
+    A cluster has rows of one kind (mate chromosome and strands), and clusters
+    stand in the order of their first starts. So a row is compared with the open
+    clusters of its own kind only, and where the search ends is looked up.
+    """
 
     def __init__(self, k: float, reach: float) -> None:
         self.k, self.reach = k, reach
-        self.clusters: deque[tuple[int, list[tuple]]] = deque()
-        self.made = 0
+        self.clusters: deque[tuple[int, tuple, list[tuple]]] = deque()
+        self.firsts: list[int] = []  # of all clusters that were made
+        self.by_kind: dict[tuple, deque[tuple[int, tuple, list[tuple]]]] = {}
 
     def add(self, row: tuple) -> int:
         """Cluster of a row (name, start, mate chromosome, strand, mate start, mate strand, size, upper, median, sd); -1 for an exact repetition.
@@ -31,33 +38,43 @@ class Assigner:
         the medians by at most k joint deviations) puts the row into the cluster;
         a member further away than `reach` ends the search.
         """
-        name, start, mchrom, strand, mstart, mstrand, size, upper, median, sd = row
-        reach = self.reach
+        start, kind = row[1], (row[2], row[3], row[5])
+        # The newest cluster whose first member is out of reach ends the search; it may still take a row of its own kind.
+        end = bisect_left(self.firsts, start - self.reach) - 1
         target = None
-        for own in reversed(self.clusters):
-            stop = False
-            for o in own[1]:
-                if o[2] == mchrom and o[3] == strand and o[5] == mstrand:
-                    if o[0] == name and o[1] == start and o[4] == mstart:
-                        return -1
-                    far = max(o[7], upper)
-                    if abs(start - o[1]) <= far and abs(mstart - o[4]) <= far and (strand == mstrand or abs((size - o[6]) - (median - o[8])) <= self.k * (sd**2 + o[9] ** 2) ** 0.5):
-                        target, stop = own, True
-                        break
-                if abs(start - o[1]) > reach:
-                    stop = True
-                    break
-            if stop:
+        for own in reversed(self.by_kind.get(kind, ())):
+            if own[0] < end:
+                break
+            settled, found = self._asked(own[2], row)
+            if settled:
+                if not found:
+                    return -1
+                target = own
                 break
         if target is None:
-            target = (self.made, [])
-            self.made += 1
+            target = (len(self.firsts), kind, [])
+            self.firsts.append(start)
             self.clusters.append(target)
-        target[1].append(row)
-        while all(abs(start - o[1]) > reach for o in self.clusters[0][1]):
-            self.clusters.popleft()  # nothing that comes later can reach it
+            self.by_kind.setdefault(kind, deque()).append(target)
+        target[2].append(row)
+        while start - self.clusters[0][2][-1][1] > self.reach:
+            gone = self.clusters.popleft()  # nothing that comes later can reach it
+            self.by_kind[gone[1]].popleft()
         return target[0]
 
+    def _asked(self, members: list[tuple], row: tuple) -> tuple[bool, bool]:
+        """Whether a member settles where the row goes, and if so, whether it is into this cluster."""
+        name, start, _, strand, mstart, mstrand, size, upper, median, sd = row
+        for o in members:
+            if o[0] == name and o[1] == start and o[4] == mstart:
+                return True, False
+            far = max(o[7], upper)
+            if abs(start - o[1]) <= far and abs(mstart - o[4]) <= far and (strand == mstrand or abs((size - o[6]) - (median - o[8])) <= self.k * (sd**2 + o[9] ** 2) ** 0.5):
+                return True, True
+            if start - o[1] > self.reach:
+                break
+        return False, False
+
 
 def assign_clusters(df: DataFrame, stats: DataFrame, k: float, reach: float) -> DataFrame:
     """Clusters of pairs: chrom, `run`, cluster (from 0 in a run), id; -1 are exact repetitions.

@@ -186,6 +186,53 @@ def test_assignment():
     assert a.add(("q", 9000, "c", 1, 9300, -1, 300, 400, 300.0, 10.0)) == 3 and len(a.clusters) == 1
 
 
+def asked_one_by_one(rows, k, reach):
+    """All clusters from the newest to the oldest, all members in order."""
+    clusters, made, out = [], 0, []
+    for row in rows:
+        name, start, mchrom, strand, mstart, mstrand, size, upper, median, sd = row
+        target, dropped = None, False
+        for own in reversed(clusters):
+            stop = False
+            for o in own[1]:
+                if (o[2], o[3], o[5]) == (mchrom, strand, mstrand):
+                    if (o[0], o[1], o[4]) == (name, start, mstart):
+                        dropped = stop = True
+                        break
+                    far = max(o[7], upper)
+                    if abs(start - o[1]) <= far and abs(mstart - o[4]) <= far and (strand == mstrand or abs((size - o[6]) - (median - o[8])) <= k * (sd**2 + o[9] ** 2) ** 0.5):
+                        target, stop = own, True
+                        break
+                if abs(start - o[1]) > reach:
+                    stop = True
+                    break
+            if stop:
+                break
+        if dropped:
+            out.append(-1)
+            continue
+        if target is None:
+            target = (made, [])
+            made += 1
+            clusters.append(target)
+        target[1].append(row)
+        while all(abs(start - o[1]) > reach for o in clusters[0][1]):
+            clusters.pop(0)
+        out.append(target[0])
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_assignment_is_that_of_asking_all(seed):
+    rnd = random.Random(seed)
+    start, rows = 0, []
+    for _ in range(700):
+        start += rnd.choice((0, 0, 1, 15, 60, 400 if seed % 2 else 3))
+        rows.append((f"n{rnd.randrange(9)}", start, rnd.choice("cd"), rnd.choice((1, -1)), rnd.choice((start + rnd.randrange(300), rnd.randrange(900))), rnd.choice((1, -1)), rnd.randrange(200, 400), rnd.choice((60, 250, 900)), 300.0, 15.0))
+    a = Assigner(3.0, 300)
+    assert [a.add(r) for r in rows] == asked_one_by_one(rows, 3.0, 300)
+
+
 def test_names_and_sequences(spark):
     row = spark.range(1).select(norm_contig(F.lit(" CHR1 ")), norm_contig(F.lit("chrchr2")), norm_name(F.lit(" rg1 ")), norm_source(F.lit(" Help - _Threads ")), q.reverse_complement(F.lit("acgtNx")), q.edge_run(F.lit("CAAA"), "A", True), q.longest_run_above(F.lit("II#III"), 10), q.trim_length(F.lit("IIII##"), 20), q.strip_suffix(F.lit("read1sc")), q.md_matches(F.lit("10A5^AC6")), q.prefix_difference(F.lit("abcd"), F.lit("abxx9"))).first()
     assert tuple(row) == ("1", "chr2", "RG1", "help_threads", "NNACGT", 3, 3, 4, "read1", 21, 2)
