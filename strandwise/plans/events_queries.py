@@ -154,6 +154,9 @@ select * from y where coalesce(size, 0) < {LARGEST}""",
     case when (f.a1 = 0 and f.b1 = 0) or (f.a1 = -1 and f.b1 = -1) then x.a1 when greatest(x.a1, f.a1) > least(x.b1, f.b1) then 0 else greatest(x.a1, f.a1) end, case when (f.a1 = 0 and f.b1 = 0) or (f.a1 = -1 and f.b1 = -1) then x.b1 when greatest(x.a1, f.a1) > least(x.b1, f.b1) then 0 else least(x.b1, f.b1) end
   from f join no_ x on x.cluster_id = f.cluster_id and x.no = f.no + 1)
 select cluster_id, a0, b0, a1, b1, n from f where no = n and not (a0 = 0 and b0 = 0) and not (a1 = 0 and b1 = 0)""",
+    "a22_components": f"""with recursive {MEMBERS_SQL}, ed as materialized (select distinct cluster_id as c, name as r from members where cluster_id is not null and name is not null), nodes as (select distinct cluster_id as c from members where cluster_id is not null)
+, lab(c, l) using key (c) as (select c, c as l from nodes union (select ed.c, min(m.l) from (select ed.r, min(x.l) as l from lab x join ed on ed.c = x.c group by ed.r) m join ed on ed.r = m.r join recurring.lab y on y.c = ed.c where m.l < y.l group by ed.c))
+select component, count(*) as n from (select c, min(l) as component from lab group by c) group by component""",
     "a17_votes": f"""with {MEMBERS_SQL}, m as (select pid, pos, mate_pos, mate_pos - pos as apart from members where pos is not null and mate_pos is not null)
 , a as (select pid, pos, count(*) as n from m group by all), b as (select pid, mate_pos, count(*) as n from m group by all), d as (select pid, apart, count(*) as n from m group by all)
 , ra as (select *, row_number() over (partition by pid order by n desc, abs(pos), pos) as no from a), rb as (select *, row_number() over (partition by pid order by n desc, abs(mate_pos) desc, mate_pos) as no from b), rd as (select *, row_number() over (partition by pid order by n desc, abs(apart), apart) as no from d)
