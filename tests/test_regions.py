@@ -37,6 +37,14 @@ def test_merging_reaches_the_fixpoint(spark):
     assert got == brute(rows[:-1])
 
 
+def test_rounds_of_merging_keep_a_bounded_estimate(spark):
+    """Three rounds: 1 meets 2, their hull 3 and 4, and that hull 5. The estimated size may not grow with them."""
+    rows = [(1, "x", "z", 0, 10, 0, 10), (2, "x", "z", 8, 20, 8, 20), (3, "x", "z", 15, 30, 0, 5), (4, "x", "z", 0, 5, 15, 40), (5, "x", "z", 22, 60, 30, 35), (9, "x", "z", 100, 101, 0, 10)]
+    merged = merge_regions(spark.createDataFrame(rows, "id long, chrom string, mate_chrom string, a1 long, a2 long, b1 long, b2 long"))
+    assert {(r.id, r.chrom, r.mate_chrom, r.a1, r.a2, r.b1, r.b2, r.ids) for r in merged.collect()} == brute(rows)
+    assert merged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 70
+
+
 def test_rules(spark):
     t, f = F.lit(True), F.lit(False)
     orphans = [is_orphan(t, f, f, f, t), is_orphan(t, f, f, f, f), is_orphan(f, t, t, f, f), is_orphan(f, f, f, t, t), is_orphan(f, t, f, f, t), is_transduction(t, f, t, t, t, t), is_transduction(t, f, t, f, t, t), is_transduction(t, t, f, f, f, t)]
